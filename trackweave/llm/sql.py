@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, sharding
 
 _M = quality.METRICS
 _Q = """
@@ -67,4 +67,46 @@ OP1 = _Q.format(
     wide=", ".join(f"max(case when metric = '{m}' then high end) as high_{m}, max(case when metric = '{m}' then low end) as low_{m}" for m in _M),
     bad=" or ".join(f"m.{m} > wide.high_{m}" + f" or m.{m} < wide.low_{m}" * both for m, (_, both) in _M.items()))
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1}
+OP4 = f"""
+with r as (
+  select doc_id, coalesce(strlen(text), 0)::bigint as bytes,
+    ('0x' || substr(md5(coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')), 1, 8))::bigint as h from documents),
+e as (select h, depth, h >> (32 - depth) as bucket from (select distinct h from r), (select unnest(range(33)) as depth)),
+held as (select depth, bucket, sum(bytes) as bytes from (select r.bytes, depth, r.h >> (32 - depth) as bucket from r, (select unnest(range(33)) as depth)) group by all),
+d as (select h, min(depth)::int as depth from e join held using (depth, bucket) where held.bytes <= {sharding.SHARD_BYTES} group by h)
+select doc_id, bytes, depth, case when depth = 0 then '*' else substr(lpad(bin(h), 32, '0'), 1, depth) end as shard, bytes > {sharding.SHARD_BYTES} as oversize
+from r join d using (h)
+"""
+
+_T = "replace(replace({}, '&', '&amp;'), '<', '&lt;')"
+OP10 = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, i, r, '\\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(i, r))
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length('<turn role="' || replace({_T.format("role")}, '"', '&quot;') || '">' || {_T.format("text")} || '</turn>' || chr(10)))::bigint as formatted_chars
+from t group by conv_id
+"""
+
+_A = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_W = f"regexp_extract_all(translate(coalesce(text, ''), {_A}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP7 = f"""
+with d as (select row_number() over () as rid, doc_id, {_W} as ws from documents),
+b as (select item_id::varchar as item, {_W} as ws from benchmark),
+bw as (
+  select item, least(10, len(ws)) as n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) as i, ws from b where len(ws) > 0),
+bg as (select distinct item, n, array_to_string(ws[i:i + n - 1], ' ') as g from bw),
+dw as (select rid, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from bg) where len(ws) >= n),
+m as (
+  select rid, i, dw.n, item from (select rid, n, i, array_to_string(ws[i:i + n - 1], ' ') as g from dw) dw join bg on dw.n = bg.n and dw.g = bg.g),
+hits as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from m) group by rid),
+items as (select rid, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as s from (select distinct rid, item from m) group by rid)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(s, sha256('')) as items_sha256, n_hit is not null as contaminated
+from d left join hits using (rid) left join items using (rid)
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op7_decontamination": OP7, "op10_chat_format": OP10}
