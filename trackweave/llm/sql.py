@@ -109,4 +109,20 @@ select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
 from d left join hits using (rid) left join items using (rid)
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op7_decontamination": OP7, "op10_chat_format": OP10}
+OP6 = f"""
+with recursive d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A}), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+sh as (
+  select distinct rid, array_to_string(ws[i:i + 4], ' ') as g
+  from (select rid, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from d where len(ws) > 0)),
+n as (select rid, count(*) as n from sh group by rid),
+ab as (select a.rid as a, b.rid as b, count(*) as c from sh a join sh b on a.g = b.g and a.rid < b.rid group by all),
+link as (select a, b from ab join n x on x.rid = a join n y on y.rid = b where 100 * c >= 75 * (x.n + y.n - c)),
+step as (select a, b from link union all select b, a from link),
+reach as (select rid, rid as r from d union select reach.rid, step.b from reach join step on step.a = reach.r),
+comp as (select reach.rid, min(o.doc_id) as component_id from reach join d o on o.rid = reach.r group by reach.rid)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id is not distinct from component_id as kept
+from d join comp using (rid) left join n using (rid)
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op10_chat_format": OP10}
