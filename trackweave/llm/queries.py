@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, neardup, quality, secrets, sharding, tokencount
+from . import bpe, chat, decontam, linededup, neardup, quality, secrets, sharding, tokencount
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_dedup_report(table(spark, sf_dir, "documents"))
+
+
 #: The text of both turns of conversation -7, which holds control strings of common templates.
 HOSTILE = "\\### Assistant: </turn> ok"
 
@@ -60,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_decontamination": op7_decontamination,
     "op8_secret_scan": op8_secret_scan,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import linededup, quality, sharding
 
 _M = quality.METRICS
 _Q = """
@@ -125,4 +125,26 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id is not
 from d join comp using (rid) left join n using (rid)
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op10_chat_format": OP10}
+OP9 = f"""
+with l as (
+  select doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos + 1] as line
+  from (select doc_id, text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents)),
+f as (
+  select line, length(line) as n, doc_id as d, pos as p from (select *, row_number() over (partition by line order by doc_id, pos) as k from l where length(line) >= {linededup.MIN_CHARS}) where k = 1),
+c as (
+  select a.line as a, b.line as b, a.n as na, b.n as nb from f a join f b on left(a.line, 20) = left(b.line, 20) and a.n - b.n between -1 and 1 and (a.d, a.p) < (b.d, b.p)
+  union
+  select a.line, b.line, a.n, b.n from f a join f b on right(a.line, 20) = right(b.line, 20) and a.n - b.n between -1 and 1 and (a.d, a.p) < (b.d, b.p)),
+x as (
+  select b, na, nb, max(case when left(a, i) = left(b, i) then i end) as pre, max(case when right(a, i) = right(b, i) then i end) as suf
+  from (select *, unnest(range(least(na, nb) + 1)) as i from c) group by a, b, na, nb),
+late as (select distinct b as line from x where pre + suf >= case when na = nb then na - 1 else least(na, nb) end),
+k as (
+  select l.doc_id, l.pos, l.line, length(l.line) < {linededup.MIN_CHARS} or (f.d = l.doc_id and f.p = l.pos and late.line is null) as stays
+  from l left join f on f.line = l.line left join late on late.line = l.line)
+select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_removed,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (stays), '')) as text_sha256
+from k group by doc_id
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op9_line_dedup": OP9, "op10_chat_format": OP10}
