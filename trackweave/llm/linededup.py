@@ -7,6 +7,9 @@ The join: a line is cut into EDITS + 1 segments. EDITS edits leave one of them w
 within EDITS share a segment, up to a shift that the lengths and the number of the segment bound. Each
 distinct line is indexed by its segments, and probes the indexes of its own and of the EDITS lesser
 lengths with the substrings that can match; keys are hashes of length, segment number and substring.
+Where more than HOT lines share a key, its lines are cut into more segments, of which EDITS edits leave
+all but EDITS whole, and meet by what stands between those: many lines alike in one half thus make few
+pairs, and no pair within EDITS is lost.
 Candidates are verified by an edit distance within a band of 2 EDITS + 1 diagonals, kept as bit vectors
 that move down one row a column. All of it is built-in functions.
 
@@ -23,6 +26,7 @@ by 64-bit hashes.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +35,9 @@ from . import common
 
 EDITS = 1
 MIN_CHARS = 40
+#: A key of more lines than this is hot; its lines meet by FINER times as many segments, again and again.
+HOT = 16
+FINER = (4, 16)
 #: Removed lines that may be broadcast.
 BROADCAST_LINES = 1_000_000
 
@@ -63,6 +70,27 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
+def fine_keys(line: Column, length: Column, edits: int, parts: int, probe: bool = False) -> list[Column]:
+    """Keys of all but `edits` of `parts` segments: what stands between the segments left out, and where.
+
+    Lines within edits agree in one. Probes shift each stretch by what the left-out segments before it may gain or lose."""
+    out = []
+    for less in range(edits + 1) if probe else [0]:
+        own = length - less
+        cut = lambda i, own=own: F.floor(own * i / parts).cast("int")
+        for left_out in combinations(range(parts), edits):
+            for gains in product(range(-edits, edits + 1), repeat=edits) if probe else [(0,) * edits]:
+                if sum(gains) != less or sum(map(abs, gains)) > edits:
+                    continue
+                stretches, start, shift = [], 0, 0
+                for segment, gain in zip((*left_out, parts), (*gains, 0), strict=True):
+                    if start < segment:
+                        stretches.append(F.substring(line, cut(start) + shift + 1, cut(segment) - cut(start)))
+                    start, shift = segment + 1, shift + gain
+                out.append(F.xxhash64(own, F.lit(parts), F.lit(",".join(map(str, left_out))), *stretches))
+    return out
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether b, which is as long as a or at most edits longer, is within edits of a.
 
@@ -109,17 +137,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return each.where(F.length("line") >= MIN_CHARS).select("doc_id", "th", "pos", "line", F.xxhash64("line").alias("lh"), F.length("line").alias("size"))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lh, line, size) of the lines whose hashes are wanted (w), each once; read from the documents again."""
+    found = occurrences(docs).select("lh", "line", "size")
+    return found.join(common.small(wanted), found["lh"] == wanted["w"], "left_semi").dropDuplicates(["lh"])
+
+
 def near_pairs(docs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """(a, b) of the hashes of lines within edits. lines: (lh, k0.. index keys, p0.. probe keys)."""
     n_index, n_probe = edits + 1, len(probe_keys(F.lit(""), F.lit(0), edits))
-    index = lines.select(F.col("lh").alias("a"), F.explode(F.array(*[f"k{i}" for i in range(n_index)])).alias("key"))
-    probe = lines.select(F.col("lh").alias("b"), F.explode(F.array(*[f"p{i}" for i in range(n_probe)])).alias("key"))
-    pairs = common.written(probe.join(index, "key").where("a != b").select("a", "b").distinct(), "line-pairs")
+    keyed = lines.select("lh", F.array(*[f"k{i}" for i in range(n_index)]).alias("k"), F.array(*[f"p{i}" for i in range(n_probe)]).alias("p"))
+    found = []
+    for parts in (*[n * (edits + 1) for n in FINER], None):
+        index = keyed.select(F.col("lh").alias("a"), F.explode("k").alias("key"))
+        probe = keyed.select(F.col("lh").alias("b"), F.explode("p").alias("key"))
+        if parts:  # what shares a key of many lines is held together by finer ones
+            hot = common.written(index.groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("hot")), "hot-segments")
+            cool = index.join(common.small(hot), F.col("key") == F.col("hot"), "left_anti")
+        found.append(common.written(probe.join(cool if parts else index, "key").where("a != b").select("a", "b").distinct(), "line-pairs"))
+        if parts:
+            warm = keyed.select("lh", F.explode(F.concat("k", "p")).alias("key")).join(common.small(hot), F.col("key") == F.col("hot"), "left_semi")
+            warm = common.written(warm.select(F.col("lh").alias("w")).distinct(), "hot-lines")
+            line, size = F.col("line"), F.col("size")
+            keyed = texts_of(docs, warm).select("lh", F.array(*fine_keys(line, size, edits, parts)).alias("k"), F.array(*fine_keys(line, size, edits, parts, True)).alias("p"))
+            keyed = common.written(keyed, "fine-segments")
+    pairs = reduce(DataFrame.unionByName, found).distinct()
     wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted-lines")
-    texts = occurrences(docs).select("lh", "line")
-    texts = texts.join(common.small(wanted), texts["lh"] == wanted["w"], "left_semi").groupBy("lh").agg(F.min("line").alias("line"))
+    texts = common.written(texts_of(docs, wanted).select("lh", "line"), "line-texts")
     a, b = (texts.select(F.col("lh").alias(end), F.col("line").alias(f"line_{end}")) for end in "ab")
-    both = pairs.join(a, "a").join(b, "b").where(F.length("line_b") - F.length("line_a") <= edits)
+    longer = F.length("line_b") - F.length("line_a")
+    both = pairs.join(a, "a").join(b, "b").where((longer <= edits) & ((longer > 0) | (F.col("a") < F.col("b"))))
     return both.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
 
 
