@@ -7,10 +7,12 @@ bin i - BINS, so 2 BINS rounds fill every coordinate. Coordinates of two sets ag
 their similarity, and the share that agrees is concentrated about it. A band joins ROWS coordinates: two
 sets with similarity 0.75 share no band with probability (1 - 0.75^6)^84, below 1e-7.
 
-Copies are one node. Nodes that share a band are candidates, taken in rounds that each cost the rows of
-the buckets, not their pairs: (1) each node with the least node of all its buckets, (2) each with the
-least node of each bucket that it isn't connected to yet, (3) what is left: pairs of nodes that share a
-bucket and are still in different components. Candidates whose sketches agree too little (six standard
+Copies are one node. Nodes that share a band are candidates. First each node is held against the least
+node of all its buckets; then, where a bucket still holds several classes of connected nodes, those outside
+its largest class against one of that class. So nodes that link to a large group mostly do so for the rows
+of the buckets, not their pairs. What is still in different classes of a bucket is all compared, so that no
+link between classes is lost: pair by pair in small buckets, in blocks on the full sets in large ones.
+Candidates whose sketches agree too little (six standard
 deviations below the threshold) go; the rest is confirmed on the full sets of both texts. Components
 come from repeated minimum labels and shortcuts; every round is a written table.
 
@@ -38,6 +40,10 @@ ROWS, BANDS = 6, 84
 BINS = ROWS * BANDS
 #: Coordinates of which a byte each is kept for the first look at a pair, and how many must agree.
 LOOK, AGREE = 256, 150
+#: Buckets of up to SMALL members are taken pair by pair, larger ones in blocks of so many nodes and shingles.
+SMALL = 16
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 20
+MATRIX_COLUMNS = 4096
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -120,6 +126,13 @@ def similar(texts: list[str | None], others: list[str | None]) -> np.ndarray:
     return (100 * shared >= PERCENT * union) & (union > 0)
 
 
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes wanted; a node's text is that of its first document."""
+    keys = common.written(nodes.join(wanted, "node", "left_semi").select("node", F.col("rep.doc_id").alias("k_id"), F.col("rep.th").alias("k_th")), "wanted-nodes")
+    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return own.join(common.small(keys), own["doc_id"].eqNullSafe(keys["k_id"]) & (own["th"] == keys["k_th"])).select("node", "text").dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar; written."""
 
@@ -139,13 +152,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     def side(table: DataFrame, end: str, *fields: str) -> DataFrame:
         return table.select(F.col("node").alias(end), *[F.col(f).alias(f"{f}_{end}") for f in fields])
 
-    close = pairs.join(side(nodes, "a", "n", "look"), "a").join(side(nodes, "b", "n", "look"), "b")
-    close = close.where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
+    close = pairs.join(side(nodes, "a", "look"), "a").join(side(nodes, "b", "look"), "b")
     close = common.written(close.select("a", "b", "look_a", "look_b").mapInArrow(agree, "a long, b long"), "close-pairs")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    keys = common.written(nodes.join(wanted, "node", "left_semi").select("node", F.col("rep.doc_id").alias("k_id"), F.col("rep.th").alias("k_th")), "wanted-nodes")
-    own = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    texts = own.join(common.small(keys), own["doc_id"].eqNullSafe(keys["k_id"]) & (own["th"] == keys["k_th"])).select("node", "text").dropDuplicates(["node"])
+    texts = texts_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     full = close.join(side(texts, "a", "text"), "a").join(side(texts, "b", "text"), "b")
     return common.written(full.select("a", "b", "text_a", "text_b").mapInArrow(meet, "a long, b long"), "links")
 
@@ -166,37 +175,122 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", F.col("new").alias("label"))
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels with the classes that links connect made one; only the classes themselves are walked."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("label_a != label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    new = components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    return common.written(labels.join(new, labels["label"] == new["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(h, node, n, label, main, total, others, weight) of the buckets that hold several classes.
+
+    main is the class with most members there, others counts the members outside it, weight sums n."""
+    own = members.select("h", "node", "n").join(labels, "node")
+    sizes = own.groupBy("h", "label").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    several = sizes.groupBy("h").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("classes"), F.sum("size").alias("total"), F.sum("weight").alias("weight")).where("classes > 1")
+    several = several.select("h", F.col("top.label").alias("main"), "total", (F.col("total") - F.col("top.size")).alias("others"), "weight")
+    return common.written(own.join(several, "h"), "open-members")
+
+
+def fitting(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b), a > b, of pairs (node, n, other, other_n) whose sizes allow the threshold."""
+    fit = pairs.where(100 * F.least("n", "other_n") >= PERCENT * F.greatest("n", "other_n"))
+    return fit.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def to_center(still: DataFrame) -> DataFrame:
+    """Members outside their bucket's main class with one of its members."""
+    center = still.where("label = main").groupBy("h").agg(F.min(F.struct(F.col("node").alias("other"), F.col("n").alias("other_n"))).alias("c"))
+    return fitting(still.where("label != main").join(center.select("h", "c.other", "c.other_n"), "h"))
+
+
+def small_pairs(still: DataFrame) -> DataFrame:
+    """Members of different classes of a bucket of SMALL members at most."""
+    few = still.where(F.col("total") <= SMALL)
+    other = few.select(F.col("h").alias("other_h"), F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
+    return fitting(few.join(other, (F.col("h") == F.col("other_h")) & (F.col("label") < F.col("other_label"))))
+
+
+def block_links(still: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of the buckets of over SMALL members; written.
+
+    A bucket's members outside the main class meet all others there, block by block of bounded size: a task
+    holds two blocks' full sets and counts what all their pairs share by a matrix product. No pair is a row;
+    one link for two classes of a block is enough."""
+    big = still.where(F.col("total") > SMALL)
+    per = F.greatest(F.lit(1 / BLOCK_NODES), F.col("weight") / F.col("total") / BLOCK_SHINGLES)
+    count = lambda c: F.greatest(F.lit(1), F.ceil(c * per)).cast("int")
+    parts = big.withColumns({"o": count(F.col("others")), "m": count(F.col("total") - F.col("others"))})
+    lot, whole = F.xxhash64("node"), F.col("total") * per <= 1
+    out, main = F.pmod(lot, F.col("o")).cast("int"), F.pmod(lot, F.col("m")).cast("int")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    outside = F.concat(upto(F.col("m"), lambda j: cell(out, j)), upto(F.col("o"), lambda q: cell(F.least(out, q), F.col("m") + F.greatest(out, q))))
+    cells = F.when(whole, F.array(cell(F.lit(0), F.lit(0)))).when(F.col("label") != F.col("main"), outside).otherwise(upto(F.col("o"), lambda i: cell(i, main)))
+    placed = parts.select("h", "node", "label", F.explode(cells).alias("at")).select("h", "node", "label", "at.i", "at.j")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, found, sizes = shingle_sets(batch.column(1).to_pylist())
+            ends = pa.array(np.cumsum(np.r_[0, sizes]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(found.view(np.int64)))], names=["node", "set"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        nodes, labels = (table.column(c).to_numpy() for c in ("node", "label"))
+        held = table.column("set").combine_chunks()
+        sizes = np.diff(held.offsets.to_numpy())
+        shared = shared_counts(np.repeat(np.arange(len(nodes)), sizes), held.flatten().to_numpy(), len(nodes))
+        union = sizes[:, None] + sizes[None, :] - shared
+        a, b = np.nonzero((100 * shared >= PERCENT * union) & (labels[:, None] < labels[None, :]))
+        _, first = np.unique(np.stack([labels[a], labels[b]]), axis=1, return_index=True)
+        return pa.table({"a": nodes[a[first]], "b": nodes[b[first]]})
+
+    wanted = common.written(big.select("node").distinct(), "block-nodes")
+    full = common.written(texts_of(wanted, nodes, docs).mapInArrow(sets, "node long, set array<long>"), "block-sets")
+    return common.written(placed.join(full, "node").groupBy("h", "i", "j").applyInArrow(meet, "a long, b long"), "links")
+
+
+def shared_counts(owner: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+    """n x n: how many elements each two of n sets share."""
+    _, at, times = np.unique(found, return_inverse=True, return_counts=True)
+    shared = np.zeros((n, n), np.int64)
+    often = times > 1
+    place = np.cumsum(often) - 1
+    stay = often[at]
+    owner, at = owner[stay], place[at[stay]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    for start in range(0, int(often.sum()), MATRIX_COLUMNS):
+        begin, end = np.searchsorted(at, [start, start + MATRIX_COLUMNS])
+        dense = np.zeros((n, MATRIX_COLUMNS), np.float32)
+        dense[owner[begin:end], at[begin:end] - start] = 1
+        shared += (dense @ dense.T).astype(np.int64)
+    return shared
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, node) of every document, and (node, component) of every node with links or copies; both written."""
     rows = common.written(sketched(docs), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("look").alias("look"), F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"))
     nodes = common.written(nodes, "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("h"))
-    shared = banded.groupBy("h").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("h", "center")
+    banded = nodes.select("node", "n", F.explode("bands").alias("h"))
+    shared = banded.groupBy("h").agg(F.min(F.struct("node", "n")).alias("c"), F.max("node").alias("last")).where("c.node < last").select("h", F.col("c.node").alias("other"), F.col("c.n").alias("other_n"))
     members = common.written(banded.join(shared, "h"), "bucket-members")
-    first = common.written(members.where("node != center").groupBy(F.col("node").alias("a")).agg(F.min("center").alias("b")), "pairs")
-    links = confirmed(first, nodes, docs)
-    labels = components(links)
-
-    def open_members() -> DataFrame:
-        """Members of buckets that hold several components, with their labels and their center's."""
-        own = members.join(labels, "node", "left").select("h", "node", "center", F.coalesce("label", "node").alias("label"))
-        several = own.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("h")
-        of = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
-        return common.written(own.join(several, "h", "left_semi").join(of, "center", "left").withColumn("center_label", F.coalesce("center_label", "center")), "open-members")
-
-    still = open_members()
-    second = still.where("label != center_label").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = common.written(second, "pairs")
-    links = common.written(links.unionByName(confirmed(second, nodes, docs)), "links")
-    labels = components(links)
-    still = open_members().select("h", "node", "label")
-    other = still.select("h", F.col("node").alias("b"), F.col("label").alias("other"))
-    third = still.join(other, "h").where("label < other").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    third = common.written(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
-    if third.limit(1).count():
-        links = common.written(links.unionByName(confirmed(third, nodes, docs)), "links")
-        labels = components(links)
+    least = members.where("node != other").groupBy("node", "n").agg(F.min(F.struct("other", "other_n")).alias("c"))
+    tried = common.written(fitting(least.select("node", "n", "c.other", "c.other_n")), "pairs")
+    labels = members.select("node", F.col("node").alias("label")).distinct()
+    labels = joined(labels, confirmed(tried, nodes, docs))
+    pairs = to_center(open_members(members, labels)).join(tried, ["a", "b"], "left_anti")
+    pairs = common.written(pairs, "pairs")
+    labels = joined(labels, confirmed(pairs, nodes, docs))
+    still = open_members(members, labels)
+    rest = small_pairs(still).join(tried.unionByName(pairs), ["a", "b"], "left_anti")
+    links = confirmed(common.written(rest, "pairs"), nodes, docs)
+    if still.where(F.col("total") > SMALL).limit(1).count():
+        links = links.unionByName(block_links(still, nodes, docs))
+    labels = joined(labels, links)
     of = nodes.select("node", "least").join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
     named = of.groupBy("label").agg(F.min("least").alias("component"))
     return rows.select("doc_id", "th", "n", "node"), common.written(of.join(named, "label").select(F.col("node").alias("k_node"), "component"), "components")
