@@ -115,8 +115,9 @@ def conflicts(contribs: DataFrame, fields: list[str]) -> DataFrame:
             off = lambda c, f=f: F.pow(c[f][0] - F.col(f"p_{f}.v")[0], F.lit(2)) + F.pow(c[f][1] - F.col(f"p_{f}.v")[1], F.lit(2)) > POSITION_TOLERANCE
         else:
             off = lambda c, f=f: F.abs(c[f] - F.col(f"p_{f}.v")) > TOLERANCE.get(f, 0.0)
-        others = F.filter("all", lambda c, off=off, f=f: (c["fresh"] != "expired") & (c["source"] != F.col(f"p_{f}.source")) & F.coalesce(off(c), F.lit(False)))
+        winner = F.col(f"p_{f}.source")
+        others = F.filter("all", lambda c: (c["fresh"] != "expired") & (c["source"] != winner) & F.coalesce(off(c), F.lit(False)))  # noqa: B023
         alive = F.col(f"p_{f}.fresh") != "expired"
-        parts.append(F.when(alive, F.transform(others, lambda c, f=f: F.struct(F.lit(f).alias("field"), F.col(f"p_{f}.source").alias("winner"), c["source"].alias("source")))))
+        parts.append(F.when(alive, F.transform(others, lambda c: F.struct(F.lit(f).alias("field"), winner.alias("winner"), c["source"].alias("source")))))  # noqa: B023
     told = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<struct<field:string,winner:string,source:string>>")) for p in parts]))
     return rows.select("identity", F.explode(told).alias("c")).select("identity", "c.*")
