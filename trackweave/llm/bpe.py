@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import hashlib
 from collections.abc import Iterator
 from itertools import islice
@@ -45,12 +46,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merge_by_rank(ranks: dict[bytes, int], data: bytes) -> list[bytes]:
-    """Plain BPE of short data: the lowest-ranked joint of neighbours first, leftmost among equals."""
+def merge_by_rank(ranks: dict[bytes, int], data: bytes, below: int | None = None) -> list[bytes]:
+    """Plain BPE of short data: the lowest-ranked joint of neighbours first, leftmost among equals; with joints of ranks below a limit only."""
     parts = [data[i : i + 1] for i in range(len(data))]
+    none = max(ranks.values()) + 1 if below is None else below
     while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], len(ranks)), i) for i in range(len(parts) - 1))
-        if rank == len(ranks):
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], none), i) for i in range(len(parts) - 1))
+        if rank >= none:
             break
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     return parts
@@ -62,7 +64,8 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], table_rows: int = TABLE_ROWS):
         self.ranks, self.table_rows = ranks, table_rows
         self.starts = {t[:n] for t in ranks for n in range(1, len(t))} | {b""}
-        self.fits = functools.lru_cache(table_rows)(lambda a, b: merge_by_rank(ranks, a + b) == [a, b])
+        self.fits = functools.lru_cache(table_rows)(self._fits)
+        self.halves = functools.lru_cache(table_rows)(lambda token: tuple(merge_by_rank(ranks, token, ranks[token])))
         self.live = functools.lru_cache(table_rows)(lambda held: tuple(at for at in range(len(held) + 1) if held[at:] in self.starts))
         self.pieces: dict[str, bytes] = {}
         self._clear()
@@ -74,6 +77,22 @@ class Transducer:
         self.ends: dict[int, bytes] = {}
         self._state(b"", b"", (0,))
 
+    def _fits(self, a: bytes, b: bytes) -> bool:
+        """Whether the BPE of a + b is a, b: going back merge by merge on the later-made side, no pair across may join before."""
+        ranks, limit = self.ranks, None
+        while True:
+            joint = ranks.get(a + b)
+            if joint is not None and (limit is None or joint < limit):
+                return False
+            if len(a) > 1 and (len(b) == 1 or ranks[a] > ranks[b]):
+                limit = ranks[a]
+                a = self.halves(a)[-1]
+            elif len(b) > 1:
+                limit = ranks[b] + 1  # of equal ranks, the leftmost joint comes first
+                b = self.halves(b)[0]
+            else:
+                return True
+
     def _state(self, before: bytes, held: bytes, last: tuple[int, ...]) -> int:
         """last[n]: the length of the final token of held[:n], for each n that can still matter."""
         found = self.ids.setdefault((before, held), len(self.states))
@@ -120,13 +139,12 @@ class Transducer:
     def run(self, data: bytes) -> bytes:
         if len(self.moves) > self.table_rows:
             self._clear()
-        state, out = 0, []
+        state, out, moves = 0, [], self.moves
         for byte in data:
             key = state << 8 | byte
-            move = self.moves.get(key)
-            if move is None:
-                move = self.moves[key] = self._move(state, byte)
-            state, emitted = move
+            if key not in moves:
+                moves[key] = self._move(state, byte)
+            state, emitted = moves[key]
             if emitted:
                 out.append(emitted)
         end = self.ends.get(state)
@@ -239,6 +257,13 @@ def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, decoder, pieces = machines(path, pattern)
+        gc.disable()  # the tables hold a million small tuples and no cycles; walking them again and again costs a tenth of the time
+        try:
+            yield from encoded(machine, decoder, pieces, batches)
+        finally:
+            gc.enable()
+
+    def encoded(machine: Transducer, decoder: Decoder, pieces: regex.Pattern, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed, digests, decoded, same = [], [], [], []
             for text in batch.column(1):
