@@ -10,7 +10,7 @@ from trackweave.plans.observations import UNIT_US, observations
 from trackweave.streaming import live
 
 SF = "/root/testdata/sf0.001"
-COLUMNS = ["identity", "source", "observed_us", "received_us", "ord", "altitude_m", "emergency"]
+COLUMNS = ["identity", "source", "local_rf", "observed_us", "received_us", "ord", "altitude_m", "emergency"]
 
 
 @pytest.fixture(scope="module")
