@@ -254,3 +254,35 @@ def test_line_dedup_edges(docs, no_docs):
     assert out.columns == docs.columns and out.count() == docs.count()
     assert all(r.text is None or r.n_chars == len(r.text) for r in out.collect())
     assert linededup.line_dedup(no_docs).count() == linededup.line_dedup_report(no_docs).count() == 0
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    """All buckets are large, and blocks small: the result is the same."""
+    monkeypatch.setattr(neardup, "SMALL", 1)
+    monkeypatch.setattr(neardup, "BLOCK_NODES", 3)
+    rows = near_corpus()
+    got = neardup.near_dup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_shared_counts():
+    sets = [{1, 2, 3}, {2, 3, 4}, set(), {9}]
+    owner = np.array([i for i, s in enumerate(sets) for _ in s])
+    found = np.array([x for s in sets for x in sorted(s)])
+    want = [[len(a & b) for b in sets] for a in sets]
+    got = neardup.shared_counts(owner, found, 4)
+    assert all(got[i][j] == want[i][j] for i in range(4) for j in range(4) if i != j)
+
+
+def test_line_dedup_with_hot_segments(spark, docs, monkeypatch):
+    """Lines that share halves meet by finer segments: the same lines go."""
+    template = prose(1, 12)
+    rows = [(k, f"{template} {k % 17:02d} {template[::-1]}", "en", "s") for k in range(60)] + [(100 + k, f"{template[:-k] if k else template} 00 {template[::-1]}", "en", "s") for k in range(3)]
+    hot = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def report(df):
+        return sorted((str(r.doc_id), r.n_lines, r.n_removed, r.text_sha256) for r in linededup.line_dedup_report(df).collect())
+
+    whole = report(hot), report(docs)
+    monkeypatch.setattr(linededup, "HOT", 1)
+    assert (report(hot), report(docs)) == whole
