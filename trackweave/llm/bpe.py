@@ -34,7 +34,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Entries of the transition table and of the table of pre-tokens, each; a full table starts anew.
-TABLE_ROWS = 500_000
+TABLE_ROWS = 300_000
 #: Pre-tokens longer than this are run through the transducer each time.
 REMEMBER_CHARS = 32
 BLOCK = 50_000
