@@ -163,6 +163,19 @@ def test_random_strings():
     assert [text[a:b] for a, _, b in secrets.random_spans(text, base, tokens)] == [keys[0]]
 
 
+def test_random_strings_of_any_alphabet():
+    tokens = secrets.vocabulary(None).encode_ordinary
+    pick = random.Random(8)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    both = small.upper() + small
+    for alphabet in (both + digits, both + digits + "+/", both + digits + "-_", small.upper() + "234567", both):
+        for n in (16, 20, 24, 32, 44):
+            keys = ["".join(pick.choice(alphabet) for _ in range(n)) for _ in range(200)]
+            assert sum(secrets.random_run(k, tokens) for k in keys) >= 197
+    for plain in ("a/b/c/d/e/f/g/h/i/j", "2024-01-02-03-04-05", "img/2020/01/02/a1", "x1/y2/z3/img/thumb_04", "SECTION_TITLE_NUMBER_4", "-=-=-=-+/+/__-=-="):
+        assert not secrets.random_run(plain, tokens)
+
+
 def test_secret_query(docs, no_docs):
     texts = {r[0]: r[1] or "" for r in edge_rows() if r[0] is not None}
     rows = secrets.secret_scan(docs).collect()

@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and random strings found by how badly a public vocabulary packs them.
 
 Language packs into few tokens; a random string needs a token for each one or two characters. A run
-of key-like characters is taken as random if it is long, mixes letters and digits, and has under
-MAX_RATIO characters a token. Known digests (whole hex runs of a digest's length), UUIDs and
-identifiers (runs that separators cut into plain words and numbers) are excluded before the test;
-so is what overlaps a span that a fixed pattern found. Those spans always stay.
+of key-like characters is taken as random if it is long and has under MAX_RATIO characters a token,
+whatever characters it is made of. Known digests (whole hex runs of a digest's length), UUIDs and
+identifiers (runs that separators cut into numbers, words that the vocabulary packs well, and stubs of
+up to STUB characters) are excluded; so is what overlaps a span that a fixed pattern found. Those spans
+always stay.
 
 Defined results: null text counts as empty (no spans). Spans of one kind never overlap. Offsets are
 code points, ends exclusive. Rows are scanned one by one, so ties, repeated rows and null ids need no
@@ -27,6 +28,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 KINDS = ["assign", "access", "hex", "random"]
 MIN_RUN = 16
 MAX_RATIO = 2.0
+#: Letters of one case shape make a word if they have this many characters a token; words hold at least WORDY per cent of a part's letters.
+WORD_RATIO, WORD_CHARS, WORDY = 2.5, 3, 60
+#: Parts of up to this many characters tell nothing.
+STUB = 3
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -37,7 +42,7 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 ALL_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
-IDENTIFIER = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @functools.lru_cache(2)
@@ -50,18 +55,22 @@ def vocabulary(path: str | None):
     return tiktoken.Encoding("public", pat_str=public.PATTERN, mergeable_ranks=load_ranks(path or public.path(VOCABULARY)), special_tokens={})
 
 
-def identifier(run: str) -> bool:
-    """Separated plain words and numbers: at most two classes of characters change inside a part."""
-    parts = [p for p in re.split(r"[+/_=-]+", run) if p]
-    return all(len(IDENTIFIER.findall(p)) <= 1 + len(p) // 5 for p in parts)
+def wordy(part: str, tokens) -> bool:
+    """Whether words hold most of its letters; numbers and stubs pass."""
+    letters = sum(c.isalpha() for c in part)
+    words = [w for w in WORD.findall(part) if len(w) >= WORD_CHARS and len(w) >= WORD_RATIO * len(tokens(w))]
+    return len(part) <= STUB or 100 * sum(map(len, words)) >= WORDY * letters
+
+
+def identifier(run: str, tokens) -> bool:
+    """Whether separators cut it into words, numbers and stubs only."""
+    return all(wordy(p, tokens) for p in re.split(r"[+/_=-]+", run) if p)
 
 
 def random_run(run: str, tokens) -> bool:
-    if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
-        return False
-    if UUID.fullmatch(run) or (ALL_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS) or identifier(run):
+    if UUID.fullmatch(run) or (ALL_HEX.fullmatch(run) and len(run) in DIGEST_LENGTHS):
         return False
-    return len(run) < MAX_RATIO * len(tokens(run))
+    return len(run) < MAX_RATIO * len(tokens(run)) and not identifier(run, tokens)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
