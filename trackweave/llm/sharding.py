@@ -53,10 +53,13 @@ def bit_string(h: Column, depth: Column) -> Column:
     return F.substring(F.lpad(F.bin(h), HASH_BITS, "0"), F.lit(1), depth)
 
 
-def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, bytes, depth, shard (the bucket's hash prefix in bits; `*` is the undivided table; overflow pages add partition and page), oversize."""
+def shard(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+    """doc_id, bytes, depth, shard (the bucket's hash prefix in bits; `*` is the undivided table; overflow pages add partition and page), oversize.
+
+    With carry, also `_doc`: the whole row, which no id has to find again."""
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")] if carry else []
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = common.written(docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias("h"), size.alias("bytes"), F.spark_partition_id().alias("part")), "shard-rows")
+    rows = common.written(docs.select("doc_id", row_hash(F.col("doc_id"), F.col("text")).alias("h"), size.alias("bytes"), F.spark_partition_id().alias("part"), *whole), "shard-rows")
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     bits = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS)
     first = common.written(directory(rows, 0, bits, limit), "shard-directory")
@@ -73,10 +76,10 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
         over = deep.where(F.col("depth").isNull()).withColumns({"depth": F.lit(HASH_BITS), "page": F.concat(F.lit("-"), F.col("part"), F.lit("-"), page)})
         done = done.unionByName(over)
     name = F.when(F.col("depth") == 0, F.lit("*")).otherwise(bit_string(F.col("h"), F.col("depth")))
-    return done.select("doc_id", "bytes", "depth", F.concat(name, F.coalesce("page", F.lit(""))).alias("shard"), (F.col("bytes") > limit).alias("oversize"))
+    return done.select("doc_id", "bytes", "depth", F.concat(name, F.coalesce("page", F.lit(""))).alias("shard"), (F.col("bytes") > limit).alias("oversize"), *["_doc"] * carry)
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str) -> None:
-    """docs under path/shard=.../, one task a shard; assigned: the rows of shard() for the same ids, which must be unique."""
-    rows = docs.join(assigned.select("doc_id", "shard"), "doc_id")
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
+    """Every row of docs once under path/shard=.../, one task a shard; null and repeated ids too. docs has no column `shard`."""
+    rows = shard(docs, limit, carry=True).select("_doc.*", "shard")
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
