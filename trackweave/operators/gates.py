@@ -2,7 +2,7 @@
 
 A greedy gate is a fold over a key's rows in order. A key's rows are folded in one task; rows carry only
 what the fold needs, and `span_us` cuts a key's history where a gap reopens the gate whatever came
-before, so that a hot key is folded in pieces.
+before, so that a key with such pauses is folded in pieces; a dense key is one piece.
 """
 
 from __future__ import annotations
