@@ -45,5 +45,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: SQL cannot express the encoding; tests hold run() against a brute-force version.
+#: SQL cannot express the encoding; no test compares run() with a brute-force version yet.
 ORACLE_SQL = None
