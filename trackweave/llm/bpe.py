@@ -2,11 +2,12 @@
 
 Encoding. A sequence of tokens is the BPE of its bytes exactly if each two neighbours are the BPE of
 their joint bytes. So the last token of every prefix follows from the last tokens of shorter
-prefixes, byte by byte. A state of the transducer is the last emitted token and the bytes not yet
-emitted; after each byte, the tokens that all continuations share are emitted. A continuation can
-only start a token at a place where the bytes since are the beginning of some token, so at most the
-longest token's bytes are held back. States and transitions are made when first met and kept in a
-bounded table, which starts anew when full; memory is bounded and results are the same.
+prefixes, byte by byte. A continuation can only start a token at a place where the bytes since are the
+beginning of some token. A state of the transducer is the list of those places, each as the node of
+its bytes in the tree of all tokens, and the tokens up to there that are not yet emitted; after each
+byte, the tokens that all places share are emitted. So at most the longest token's bytes are held back,
+and words that differ in what matters no more meet in one state. States and transitions are made when
+first met and kept in a bounded table, which starts anew when full; results are the same.
 
 Decoding. States are the bytes of an unfinished character (at most three); a token moves from state
 to state and emits characters. Malformed input gives one U+FFFD for each maximal broken part.
@@ -22,6 +23,7 @@ import base64
 import functools
 import gc
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame
 from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Entries of the transition table and of the table of pre-tokens, each; a full table starts anew.
-TABLE_ROWS = 300_000
+#: Entries of the transition table, of the table of neighbours that fit, and of the tables of pre-tokens, each.
+TABLE_ROWS = 500_000
 #: Pre-tokens longer than this are run through the transducer each time.
 REMEMBER_CHARS = 32
 BLOCK = 50_000
 REPLACEMENT = "\N{REPLACEMENT CHARACTER}"
+#: Stands for what is left of a pre-token, or for an emitted token that matters no more.
+START = -1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -58,109 +62,150 @@ def merge_by_rank(ranks: dict[bytes, int], data: bytes, below: int | None = None
     return parts
 
 
+def pack(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Transducer:
     """encode(piece): the token ids of one pre-token as little-endian 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], table_rows: int = TABLE_ROWS):
         self.ranks, self.table_rows = ranks, table_rows
-        self.starts = {t[:n] for t in ranks for n in range(1, len(t))} | {b""}
-        self.fits = functools.lru_cache(table_rows)(self._fits)
-        self.halves = functools.lru_cache(table_rows)(lambda token: tuple(merge_by_rank(ranks, token, ranks[token])))
-        self.live = functools.lru_cache(table_rows)(lambda held: tuple(at for at in range(len(held) + 1) if held[at:] in self.starts))
+        self.tokens = {i: t for t, i in ranks.items()}
+        self.span = max(self.tokens) + 1
+        self.halves: dict[int, tuple[int, ...]] = {}
+        self.fitting: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
+        self._grow_tree()
         self._clear()
 
+    def _grow_tree(self) -> None:
+        """The tokens as a tree of bytes: node 0 is empty; children by node and byte; a node's token, or -1; the nodes that some token goes on from."""
+        self.children: dict[int, int] = {}
+        self.token_at = [-1]
+        self.inner = {0}
+        for token, rank in self.ranks.items():
+            node = 0
+            for byte in token:
+                self.inner.add(node)
+                node = self.children.setdefault(node << 8 | byte, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = rank
+
     def _clear(self) -> None:
-        self.ids: dict[tuple[bytes, bytes], int] = {}
-        self.states: list[tuple[bytes, bytes, tuple[int, ...]]] = []
+        """A state lists the places where a token may start, first to last: (node of the bytes since, tokens up to there).
+
+        The tokens begin with the last emitted one, or START; the last place is the end of what was read."""
+        start = ((0, (START,)),)
+        self.ids = {start: 0}
+        self.states = [start]
         self.moves: dict[int, tuple[int, bytes]] = {}
         self.ends: dict[int, bytes] = {}
-        self._state(b"", b"", (0,))
 
-    def _fits(self, a: bytes, b: bytes) -> bool:
+    def _halves(self, token: int) -> tuple[int, ...]:
+        found = self.halves.get(token)
+        if found is None:
+            found = self.halves[token] = tuple(self.ranks[part] for part in merge_by_rank(self.ranks, self.tokens[token], token))
+        return found
+
+    def _fits(self, a: int, b: int) -> bool:
         """Whether the BPE of a + b is a, b: going back merge by merge on the later-made side, no pair across may join before."""
-        ranks, limit = self.ranks, None
+        tokens, ranks, limit = self.tokens, self.ranks, self.span
         while True:
-            joint = ranks.get(a + b)
-            if joint is not None and (limit is None or joint < limit):
+            if ranks.get(tokens[a] + tokens[b], self.span) < limit:
                 return False
-            if len(a) > 1 and (len(b) == 1 or ranks[a] > ranks[b]):
-                limit = ranks[a]
-                a = self.halves(a)[-1]
-            elif len(b) > 1:
-                limit = ranks[b] + 1  # of equal ranks, the leftmost joint comes first
-                b = self.halves(b)[0]
+            if len(tokens[a]) > 1 and (len(tokens[b]) == 1 or a > b):
+                limit = a
+                a = self._halves(a)[-1]
+            elif len(tokens[b]) > 1:
+                limit = b + 1  # of equal ranks, the leftmost joint comes first
+                b = self._halves(b)[0]
             else:
                 return True
 
-    def _state(self, before: bytes, held: bytes, last: tuple[int, ...]) -> int:
-        """last[n]: the length of the final token of held[:n], for each n that can still matter."""
-        found = self.ids.setdefault((before, held), len(self.states))
-        if found == len(self.states):
-            self.states.append((before, held, last))
+    def fits(self, a: int, b: int) -> bool:
+        key = a * self.span + b
+        found = self.fitting.get(key)
+        if found is None:
+            if len(self.fitting) > self.table_rows:
+                self.fitting.clear()
+            found = self.fitting[key] = self._fits(a, b)
         return found
 
-    @staticmethod
-    def _chain(last: tuple[int, ...], end: int) -> list[int]:
-        """Token ends of the BPE of held[:end], in order."""
-        ends = []
-        while end:
-            ends.append(end)
-            end -= last[end]
-        return ends[::-1]
-
-    def _pack(self, held: bytes, ends: list[int]) -> bytes:
-        return b"".join(self.ranks[held[a:b]].to_bytes(4, "little") for a, b in zip([0, *ends], ends, strict=False))
+    def _step(self, state: int, byte: int) -> tuple[tuple[int, ...], list[tuple[int, tuple[int, ...]]]]:
+        """With one byte more: the tokens up to the end, of which exactly one candidate fits what stands left of it; and the places still open."""
+        children, token_at, inner = self.children, self.token_at, self.inner
+        last, places = None, []
+        for node, chain in self.states[state]:
+            after = children.get(node << 8 | byte)
+            if after is None:
+                continue
+            if last is None:
+                token, left = token_at[after], chain[-1]
+                if token >= 0 and (left == START or self.fits(left, token)):
+                    last = (*chain, token)
+            if after in inner:
+                places.append((after, chain))
+        if last is None:
+            raise ValueError("the vocabulary lacks a byte, or has a token that its own merges cannot make")
+        return last, places
 
     def _move(self, state: int, byte: int) -> tuple[int, bytes]:
-        before, old, last = self.states[state]
-        held = old + bytes((byte,))
-        for at in self.live(old):  # exactly one candidate fits what stands left of it
-            token = held[at:]
-            left = old[at - last[at] : at] if at else before
-            if token in self.ranks and (not left or self.fits(left, token)):
-                last = (*last, len(token))
-                break
-        else:
-            raise ValueError("the vocabulary lacks a byte, or has a token that its own merges cannot make")
-        live = self.live(held)
-        if live[0] == 0:  # a token may still start where held does
-            return self._state(before, held, last), b""
-        shared = self._chain(last, live[0])
-        for at in live[1:]:
-            chain = set(self._chain(last, at))
-            shared = [end for end in shared if end in chain]
-        if not shared:
-            return self._state(before, held, last), b""
-        cut = shared[-1]
-        kept = (0, *(n if at - n >= cut else 0 for at, n in enumerate(last) if at > cut))
-        return self._state(held[cut - last[cut] : cut], held[cut:], kept), self._pack(held, shared)
+        last, places = self._step(state, byte)
+        places.append((0, last))
+        first = places[0][1]
+        shared = least = len(first)
+        for _, chain in places[1:]:
+            n = len(chain)
+            least, shared = min(least, n), min(shared, n)
+            for k in range(1, shared):
+                if chain[k] != first[k]:
+                    shared = k
+                    break
+        if least > shared:  # what stands left of the tokens held back matters no more
+            places = [(node, (START, *chain[shared:])) for node, chain in places]
+        elif shared > 1:
+            places = [(node, chain[shared - 1 :]) for node, chain in places]
+        key = tuple(places)
+        found = self.ids.get(key)
+        if found is None:
+            found = self.ids[key] = len(self.states)
+            self.states.append(key)
+        return found, pack(first[1:shared]) if shared > 1 else b""
 
     def run(self, data: bytes) -> bytes:
-        if len(self.moves) > self.table_rows:
+        if len(self.moves) + len(self.ends) > self.table_rows:
             self._clear()
+        if not data:
+            return b""
         state, out, moves = 0, [], self.moves
-        for byte in data:
+        for byte in data[:-1]:
             key = state << 8 | byte
-            if key not in moves:
-                moves[key] = self._move(state, byte)
-            state, emitted = moves[key]
+            move = moves.get(key)
+            if move is None:
+                move = moves[key] = self._move(state, byte)
+            state, emitted = move
             if emitted:
                 out.append(emitted)
-        end = self.ends.get(state)
+        key = state << 8 | data[-1]
+        end = self.ends.get(key)
         if end is None:
-            _, held, last = self.states[state]
-            end = self.ends[state] = self._pack(held, self._chain(last, len(held)))
+            end = self.ends[key] = pack(self._step(state, data[-1])[0][1:])
         out.append(end)
         return b"".join(out)
 
     def encode(self, piece: str) -> bytes:
+        """Known pieces are kept in two tables: when the newer is full, it becomes the older, so that frequent pieces stay."""
         found = self.pieces.get(piece)
         if found is None:
-            found = self.run(piece.encode("utf-8", "replace"))
+            found = self.older_pieces.get(piece)
+            if found is None:
+                found = self.run(piece.encode("utf-8", "replace"))
             if len(piece) <= REMEMBER_CHARS:
-                if len(self.pieces) > self.table_rows:
-                    self.pieces.clear()
+                if len(self.pieces) > self.table_rows // 2:
+                    self.older_pieces, self.pieces = self.pieces, {}
                 self.pieces[piece] = found
         return found
 
