@@ -201,23 +201,25 @@ def test_banded_distance(spark):
         pairs.append(("".join(a), "".join(b)))
     pairs = [(a, b) if len(a) <= len(b) else (b, a) for a, b in pairs]
     for edits in (1, 2, 3):
-        near = [(a, b) for a, b in pairs if len(b) - len(a) <= edits and a]
+        near = [(a, b) for a, b in pairs if len(b) - len(a) <= edits]
         got = spark.createDataFrame(near, "a string, b string").select("a", "b", linededup.within(F.col("a"), F.col("b"), edits).alias("w")).collect()
         assert [(r.a, r.b, r.w) for r in got] == [(a, b, distance(a, b) <= edits) for a, b in near]
 
 
-def brute_lines(docs, edits):
-    found = sorted({(k, p, x) for k, t in docs if t is not None for p, x in enumerate(t.split("\n")) if len(x) >= linededup.MIN_CHARS}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    first, order = {}, []
+def brute_lines(docs, ladder):
+    found = sorted({(k, p, x) for k, t in docs if t is not None for p, x in enumerate(t.split("\n")) if re.search(r"[^ \t-\r]", x)}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    first, rank = {}, []
     for k, p, x in found:
         if x not in first:
             first[x] = (k, p)
-            order.append(x)
-    late = {x for j, x in enumerate(order) if any(abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in order[:j])}
+            rank.append(x)
+    edits = lambda n: max((e for low, e in ladder if n >= low), default=0)
+    near = lambda x, y: abs(len(x) - len(y)) <= edits(min(len(x), len(y))) and distance(x, y) <= edits(min(len(x), len(y)))
+    late = {x for j, x in enumerate(rank) if any(near(x, y) for y in rank[:j])}
     out = []
     for k, t in docs:
         lines = (t or "").split("\n")
-        kept = [x for p, x in enumerate(lines) if len(x) < linededup.MIN_CHARS or (first[x] == (k, p) and x not in late)]
+        kept = [x for p, x in enumerate(lines) if x not in first or (first[x] == (k, p) and x not in late)]
         out.append((k, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
@@ -239,9 +241,10 @@ def line_corpus():
 
 def test_line_dedup_brute_force(spark):
     rows = line_corpus()
-    for edits in (1, 2):
-        got = linededup.line_dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), edits).collect()
-        assert sorted(map(tuple, got)) == brute_lines(rows, edits)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for ladder in (linededup.LADDER, ((40, 2),), ((0, 1), (20, 3))):
+        got = linededup.line_dedup_report(docs, ladder).collect()
+        assert sorted(map(tuple, got)) == brute_lines(rows, ladder)
         assert sum(r.n_removed for r in got) > 10
 
 
@@ -249,7 +252,7 @@ def test_line_dedup_edges(docs, no_docs):
     rows = [(r[0], r[1]) for r in edge_rows() if r[0] != 11 and r[0] != 12]
     key = lambda r: tuple((v is None, v) for v in r)
     got = sorted((tuple(r) for r in linededup.line_dedup_report(docs.where("doc_id is null or doc_id not in (11, 12)")).collect()), key=key)
-    assert got == sorted(brute_lines(rows, 1), key=key)
+    assert got == sorted(brute_lines(rows, linededup.LADDER), key=key)
     out = linededup.line_dedup(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
     assert all(r.text is None or r.n_chars == len(r.text) for r in out.collect())
@@ -274,15 +277,23 @@ def test_shared_counts():
     assert all(got[i][j] == want[i][j] for i in range(4) for j in range(4) if i != j)
 
 
-def test_line_dedup_with_hot_segments(spark, docs, monkeypatch):
-    """Lines that share halves meet by finer segments: the same lines go."""
-    template = prose(1, 12)
-    rows = [(k, f"{template} {k % 17:02d} {template[::-1]}", "en", "s") for k in range(60)] + [(100 + k, f"{template[:-k] if k else template} 00 {template[::-1]}", "en", "s") for k in range(3)]
-    hot = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-
-    def report(df):
-        return sorted((str(r.doc_id), r.n_lines, r.n_removed, r.text_sha256) for r in linededup.line_dedup_report(df).collect())
-
-    whole = report(hot), report(docs)
-    monkeypatch.setattr(linededup, "HOT", 1)
-    assert (report(hot), report(docs)) == whole
+def families():
+    """Lines that share most of their segments: numbers in a template, at one place or at two, and templates with ends of their own."""
+    pick, whole = random.Random(6), prose(1, 12)
+    lines = [f"{whole} {k * 37 % 500:03d} {whole[::-1]}" for k in range(70)]
+    lines += [f"{pick.randrange(30):02d} {whole} {pick.randrange(30):02d}{pick.choice('ab')}" for _ in range(60)]
+    lines += [f"{whole} {prose(50 + k, 6)}" for k in range(30)] + [f"{whole[:-k]} 004 {whole[::-1]}" for k in range(1, 4)] + ["short"] * 3
+    pick.shuffle(lines)
+    return [(k, f"{x}\n{lines[(k * 7) % len(lines)]}") for k, x in enumerate(lines)]
+
+
+def test_line_dedup_with_hot_segments(spark, monkeypatch):
+    """Lines that share segments meet by what remains, and in the end in blocks: the same lines go."""
+    rows = families()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for ladder, hot, levels, block in ((((40, 1),), 16, 3, 64), (((40, 2),), 4, 3, 64), (linededup.LADDER, 1, 2, 5), (((40, 3),), 8, 1, 16)):
+        monkeypatch.setattr(linededup, "HOT", hot)
+        monkeypatch.setattr(linededup, "LEVELS", levels)
+        monkeypatch.setattr(linededup, "BLOCK", block)
+        got = linededup.line_dedup_report(docs, ladder).collect()
+        assert sorted(map(tuple, got)) == brute_lines(rows, ladder)

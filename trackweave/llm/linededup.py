@@ -1,20 +1,24 @@
 """Line dedup across documents by a segment-partition edit join.
 
-Of equal lines, the first occurrence stays (by document id, then line number). It goes too if a line
-within EDITS edits first occurs earlier. Lines under MIN_CHARS characters always stay.
-
-The join: a line is cut into EDITS + 1 segments. EDITS edits leave one of them whole, so two lines
-within EDITS share a segment, up to a shift that the lengths and the number of the segment bound. Each
-distinct line is indexed by its segments, and probes the indexes of its own and of the EDITS lesser
-lengths with the substrings that can match; keys are hashes of length, segment number and substring.
-Where more than HOT lines share a key, its lines are cut into more segments, of which EDITS edits leave
-all but EDITS whole, and meet by what stands between those: many lines alike in one half thus make few
-pairs, and no pair within EDITS is lost.
-Candidates are verified by an edit distance within a band of 2 EDITS + 1 diagonals, kept as bit vectors
+Of equal lines with a word, the first occurrence stays (by document id, then line number), however short
+they are. It goes too if a near line first occurs earlier. How many edits are near grows with the length
+of the shorter line, by LADDER; under its first step, only equal lines count. Lines without a word stay.
+
+The join: a line of k allowed edits is cut into k + 1 segments. k edits leave one of them whole, with no
+more edits left of it than its number and no more right of it than the segments there, so two near lines
+share a segment, up to a shift that this bounds. Each distinct line is indexed by its segments, and probes
+the indexes of its own and of the k lesser lengths with the substrings that can match; keys are hashes of
+length, segment number and substring. Where more than HOT lines are indexed by one key, the segment is cut
+out of its lines, and what remains, which is still within the edits, is joined in the same way, level by
+level. From the second level on, the lines of a hot key are first held against its earliest line, and
+keys whose lines are all decided are done. What is hot after LEVELS levels is compared in blocks of
+bounded size: no pair becomes a row, but the work grows with the square of the lines that differ only in
+the little that remains and are yet too far from the earliest.
+Candidates are verified by an edit distance within a band of 2 k + 1 diagonals, kept as bit vectors
 that move down one row a column. All of it is built-in functions.
 
 Distinct lines are pre-aggregated to numbers: texts are read again for the candidates only, and shuffled
-only if their documents are more than a checked number.
+only if their removed lines are more than a checked size.
 
 Defined results: null text counts as one empty line and stays null. Repeated rows of one id and text
 are one document, cleaned alike. Ties of first occurrences (an id with several texts) go to the lower
@@ -26,20 +30,37 @@ by 64-bit hashes.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-EDITS = 1
-MIN_CHARS = 40
-#: A key of more lines than this is hot; its lines meet by FINER times as many segments, again and again.
+#: (characters, edits): from so many characters on, lines are near within so many edits; ascending.
+LADDER = ((40, 1), (100, 2))
+Ladder = tuple[tuple[int, int], ...]
+#: A key that indexes more lines than this is hot.
 HOT = 16
-FINER = (4, 16)
-#: Removed lines that may be broadcast.
-BROADCAST_LINES = 1_000_000
+#: How often what remains of hot lines is cut again, and the size of the blocks that are compared then.
+LEVELS = 3
+BLOCK = 64
+#: Bytes that the removed line numbers may take, in Spark's rows, to be broadcast.
+BROADCAST_BYTES = 8 << 20
+WORD = "[^ \\t-\\r]"
+
+
+def steps(ladder: Ladder) -> list[tuple[int, int | None, int]]:
+    """(least length, length above, edits) of each step."""
+    above = [low for low, _ in ladder[1:]]
+    return [(low, high, edits) for (low, edits), high in zip(ladder, [*above, None], strict=True) if edits]
+
+
+def on_step(length: Column, low: int, high: int | None) -> Column:
+    return (length >= low) & (length < high) if high else length >= low
+
+
+def allowed(length: Column, ladder: Ladder) -> Column:
+    return reduce(lambda held, step: F.when(length >= step[0], step[1]).otherwise(held), ladder, F.lit(0))
 
 
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
@@ -52,43 +73,22 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(length: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), text)
-
-
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [_key(length, i, F.substring(line, start + 1, size)) for i, (start, size) in enumerate(segments(length, edits))]
-
-
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """For each lesser length and segment, the substrings whose shift is possible from the left and from the right."""
+def spots(text: Column, length: Column, edits: int, less: int, own: bool, *salt: Column) -> Column:
+    """Keys of a text, as structs (key, own, less, edits, start, size): its own segments, or the substrings that may match segments of a text shorter by less."""
     out = []
-    for less in range(edits + 1):
-        for i, (start, size) in enumerate(segments(length - less, edits)):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                out.append(_key(length - less, i, F.substring(line, start + shift + 1, size)))
-    return out
-
+    for i, (start, size) in enumerate(segments(length - less, edits)):
+        shifts = [0] if own else range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+        for shift in shifts:
+            key = F.xxhash64(F.lit(edits), length - less, F.lit(i), F.substring(text, start + shift + 1, size), *salt)
+            out.append(F.struct(key.alias("key"), F.lit(own).alias("own"), F.lit(less).alias("less"), F.lit(edits).alias("edits"), (start + shift).alias("start"), size.alias("size")))
+    return F.array(*out)
 
-def fine_keys(line: Column, length: Column, edits: int, parts: int, probe: bool = False) -> list[Column]:
-    """Keys of all but `edits` of `parts` segments: what stands between the segments left out, and where.
 
-    Lines within edits agree in one. Probes shift each stretch by what the left-out segments before it may gain or lose."""
-    out = []
-    for less in range(edits + 1) if probe else [0]:
-        own = length - less
-        cut = lambda i, own=own: F.floor(own * i / parts).cast("int")
-        for left_out in combinations(range(parts), edits):
-            for gains in product(range(-edits, edits + 1), repeat=edits) if probe else [(0,) * edits]:
-                if sum(gains) != less or sum(map(abs, gains)) > edits:
-                    continue
-                stretches, start, shift = [], 0, 0
-                for segment, gain in zip((*left_out, parts), (*gains, 0), strict=True):
-                    if start < segment:
-                        stretches.append(F.substring(line, cut(start) + shift + 1, cut(segment) - cut(start)))
-                    start, shift = segment + 1, shift + gain
-                out.append(F.xxhash64(own, F.lit(parts), F.lit(",".join(map(str, left_out))), *stretches))
-    return out
+def line_spots(line: Column, length: Column, ladder: Ladder, own: bool) -> Column:
+    """All keys of a line as an index (own) or as a probe."""
+    none = F.array().cast("array<struct<key: bigint, own: boolean, less: int, edits: int, start: int, size: int>>")
+    each = [F.when(on_step(length - less, low, high), spots(line, length, edits, less, own)).otherwise(none) for low, high, edits in steps(ladder) for less in ([0] if own else range(edits + 1))]
+    return F.concat(none, *each)
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -97,7 +97,6 @@ def within(a: Column, b: Column, edits: int) -> Column:
     Bit k of column j stands for row j - edits + k. Rows up to 0 are virtual with distance j - i; rows after a's end match nothing."""
     width = 2 * edits + 1
     full = (1 << width) - 1
-    bits = lambda e: F.expr(e)
     pad = lambda n: F.array_repeat(F.lit("").cast("string"), n)
     gap = F.length(b) - F.length(a)
     rows = F.concat(pad(edits), F.split(a, ""), pad(width + edits))
@@ -128,61 +127,153 @@ def within(a: Column, b: Column, edits: int) -> Column:
         count = lambda v: F.bit_count(v.bitwiseAND(low).bitwiseAND(F.call_function("shiftleft", F.lit(full), F.lit(edits) - gap)))
         return s["d"] - count(s["vp"]) + count(s["vn"])
 
-    return F.aggregate(common.let(rows, equal), start, step, end) <= edits
+    return (F.length(b) <= edits) | (F.aggregate(common.let(rows, equal), start, step, end) <= edits)
+
+
+def near(a: Column, b: Column, edits: Column, ladder: Ladder) -> Column:
+    """within(a, b) of the allowed edits, which are a column with values of the ladder; b is the longer one."""
+    found = F.lit(False)
+    for k in sorted({k for _, _, k in steps(ladder)}):
+        found = F.when(edits == k, (F.length(b) - F.length(a) <= k) & within(a, b, k)).otherwise(found)
+    return found
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, pos, line, lh, size) of every line that takes part."""
+    """(doc_id, th, pos, line, lh, size) of every line with a word."""
     each = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return each.where(F.length("line") >= MIN_CHARS).select("doc_id", "th", "pos", "line", F.xxhash64("line").alias("lh"), F.length("line").alias("size"))
+    return each.where(F.col("line").rlike(WORD)).select("doc_id", "th", "pos", "line", F.xxhash64("line").alias("lh"), F.length("line").alias("size"))
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(lh, line, size) of the lines whose hashes are wanted (w), each once; read from the documents again."""
-    found = occurrences(docs).select("lh", "line", "size")
+def texts_of(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """(lh, line, size) of the lines of at least so many characters whose hashes are wanted (w), each once; read from the documents again."""
+    found = occurrences(docs).where(F.col("size") >= least).select("lh", "line", "size")
     return found.join(common.small(wanted), found["lh"] == wanted["w"], "left_semi").dropDuplicates(["lh"])
 
 
-def near_pairs(docs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b) of the hashes of lines within edits. lines: (lh, k0.. index keys, p0.. probe keys)."""
-    n_index, n_probe = edits + 1, len(probe_keys(F.lit(""), F.lit(0), edits))
-    keyed = lines.select("lh", F.array(*[f"k{i}" for i in range(n_index)]).alias("k"), F.array(*[f"p{i}" for i in range(n_probe)]).alias("p"))
-    found = []
-    for parts in (*[n * (edits + 1) for n in FINER], None):
-        index = keyed.select(F.col("lh").alias("a"), F.explode("k").alias("key"))
-        probe = keyed.select(F.col("lh").alias("b"), F.explode("p").alias("key"))
-        if parts:  # what shares a key of many lines is held together by finer ones
-            hot = common.written(index.groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("hot")), "hot-segments")
-            cool = index.join(common.small(hot), F.col("key") == F.col("hot"), "left_anti")
-        found.append(common.written(probe.join(cool if parts else index, "key").where("a != b").select("a", "b").distinct(), "line-pairs"))
-        if parts:
-            warm = keyed.select("lh", F.explode(F.concat("k", "p")).alias("key")).join(common.small(hot), F.col("key") == F.col("hot"), "left_semi")
-            warm = common.written(warm.select(F.col("lh").alias("w")).distinct(), "hot-lines")
-            line, size = F.col("line"), F.col("size")
-            keyed = texts_of(docs, warm).select("lh", F.array(*fine_keys(line, size, edits, parts)).alias("k"), F.array(*fine_keys(line, size, edits, parts, True)).alias("p"))
-            keyed = common.written(keyed, "fine-segments")
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted-lines")
-    texts = common.written(texts_of(docs, wanted).select("lh", "line"), "line-texts")
-    a, b = (texts.select(F.col("lh").alias(end), F.col("line").alias(f"line_{end}")) for end in "ab")
-    longer = F.length("line_b") - F.length("line_a")
-    both = pairs.join(a, "a").join(b, "b").where((longer <= edits) & ((longer > 0) | (F.col("a") < F.col("b"))))
-    return both.where(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
-
-
-def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def order(end: str = "") -> Column:
+    """What decides which of two lines occurs first."""
+    return F.struct(F.col(f"first{end}"), F.col(f"lh{end}"))
+
+
+def hot_keys(keys: DataFrame) -> DataFrame:
+    """(hot) of the keys that index more than HOT lines; written. keys: key, own."""
+    counts = keys.where("own").groupBy("key").agg(F.count("*").alias("n"))
+    return common.written(counts.where(F.col("n") > HOT).select(F.col("key").alias("hot")), "hot-segments")
+
+
+def cool_pairs(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b) of the lines that meet in keys that are not hot: index and probe."""
+    cool = keys.where("own").join(common.small(hot), F.col("key") == F.col("hot"), "left_anti").select("key", F.col("lh").alias("a"))
+    return cool.join(keys.where("not own").select("key", F.col("lh").alias("b")), "key").where("a != b").select("a", "b").distinct()
+
+
+def without(text: Column, start: Column, size: Column) -> Column:
+    return F.concat(F.substring(text, F.lit(1), start), F.substring(text, start + size + 1, F.length(text)))
+
+
+def finer(rows: DataFrame, ladder: Ladder) -> DataFrame:
+    """What remains of each row, by the keys of its segments, without that segment. rows: key, lh, first, edits, less, own, rest."""
+    rest, size = F.col("rest"), F.length("rest")
+    found = F.lit(None)
+    for edits in sorted({k for _, _, k in steps(ladder)}):
+        here = F.col("edits") == edits
+        found = F.when(here & F.col("own"), spots(rest, size, edits, 0, True, F.col("key"))).otherwise(found)
+        for less in range(edits + 1):
+            found = F.when(here & ~F.col("own") & (F.col("less") == less), spots(rest, size, edits, less, False, F.col("key"))).otherwise(found)
+    each = rows.select("lh", "first", "edits", "less", "own", "rest", F.explode(found).alias("s"))
+    return each.select(F.col("s.key").alias("key"), "lh", "first", "edits", "less", "own", without(rest, F.col("s.start"), F.col("s.size")).alias("rest"))
+
+
+def later_of(met: DataFrame) -> DataFrame:
+    return met.select(F.when(order() > order("_c"), F.col("lh")).otherwise(F.col("lh_c")).alias("lh")).distinct()
+
+
+def centered(rows: DataFrame, ladder: Ladder) -> DataFrame:
+    """(lh) of lines near the earliest line that their key indexes, or probes with greater length, if that is earlier; and of that line if it is the later one. Written."""
+    first = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct("first", "lh", "rest")).alias("c")).select(*[F.col(k).alias(f"{k}_c") for k in by], F.col("c.first").alias("first_c"), F.col("c.lh").alias("lh_c"), F.col("c.rest").alias("rest_c"))
+    index, probe = rows.where("own"), rows.where("not own")
+    one = common.small(common.written(first(index, "key"), "centers"))
+    two = common.small(common.written(first(probe.where("less > 0"), "key", "less").drop("less_c"), "centers"))
+    same = (F.col("key") == F.col("key_c")) & (F.col("lh") != F.col("lh_c"))
+    up = probe.join(one, same).where(near(F.col("rest_c"), F.col("rest"), F.col("edits"), ladder))
+    down = index.join(two, same).where(near(F.col("rest"), F.col("rest_c"), F.col("edits"), ladder))
+    return common.written(later_of(up).unionByName(later_of(down)).distinct(), "near-lines")
+
+
+def undecided(rows: DataFrame, late: DataFrame) -> DataFrame:
+    """The rows of each key that may still show that a line of it is late: such a line has earlier ones on the other side."""
+    flagged = rows.join(common.small(late.select(F.col("lh").alias("late"))), F.col("lh") == F.col("late"), "left")
+    least = lambda own: F.min(F.when(F.col("own") == own, order()))
+    starts = common.written(rows.groupBy("key").agg(least(True).alias("index_first"), least(False).alias("probe_first")).withColumnRenamed("key", "k"), "key-starts")
+    before = F.when(F.col("own"), F.col("probe_first")).otherwise(F.col("index_first"))
+    flagged = flagged.join(common.small(starts), F.col("key") == F.col("k")).withColumn("open", F.col("late").isNull() & F.coalesce(before < order(), F.lit(False)))
+    flagged = common.written(flagged.select(*rows.columns, "open"), "flagged-rows")
+    sides = flagged.where("open").groupBy(F.col("key").alias("k")).agg(F.max("own").alias("index_open"), F.max(~F.col("own")).alias("probe_open"))
+    kept = flagged.join(common.small(common.written(sides, "open-keys")), F.col("key") == F.col("k"))
+    return kept.where(F.col("open") | F.when(F.col("own"), F.col("probe_open")).otherwise(F.col("index_open"))).select(*rows.columns)
+
+
+def in_blocks(rows: DataFrame, ladder: Ladder) -> DataFrame:
+    """(lh) of the later line of each near pair of a key, compared block by block."""
+    counts = common.written(rows.groupBy(F.col("key").alias("k")).agg(F.greatest(F.count_if("own"), F.count_if(~F.col("own"))).alias("n")), "key-sizes")
+    dealt = rows.join(common.small(counts), F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("lh"), F.ceil(F.col("n") / BLOCK)))
+    held = F.collect_set(F.struct("first", "lh", "rest"))
+    index = dealt.where("own").groupBy("key", "edits", "block").agg(held.alias("xs")).select("key", "edits", "xs")
+    probe = dealt.where("not own").groupBy(F.col("key").alias("k"), "block").agg(held.alias("ys")).select("k", "ys")
+    met = index.join(probe, F.col("key") == F.col("k"))
+    lies = lambda x, y: (x["lh"] != y["lh"]) & near(x["rest"], y["rest"], F.col("edits"), ladder)
+    when = lambda x: F.struct(x["first"], x["lh"])
+    late = F.concat(
+        F.filter("ys", lambda y: F.exists("xs", lambda x: (when(x) < when(y)) & lies(x, y))),
+        F.filter("xs", lambda x: F.exists("ys", lambda y: (when(y) < when(x)) & lies(x, y))))
+    return met.select(F.explode(F.transform(late, lambda z: z["lh"])).alias("lh")).distinct()
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
+    """(lh) of the lines that are near an earlier one; written. lines: (lh, first, k: index keys, p: probe keys)."""
+    side = lambda c, own: lines.select("lh", F.explode(c).alias("key")).withColumn("own", F.lit(own))
+    keys = side("k", True).unionByName(side("p", False))
+    least, line, size = ladder[0][0], F.col("line"), F.col("size")
+    hot = hot_keys(keys)
+    pairs, late = [common.written(cool_pairs(keys, hot), "line-pairs")], []
+    if hot.limit(1).count():
+        warm = common.written(keys.join(common.small(hot), F.col("key") == F.col("hot"), "left_semi").select(F.col("lh").alias("w")).distinct(), "hot-lines")
+        each = texts_of(docs, warm, least).join(lines.select("lh", "first"), "lh")
+        each = each.select("lh", "first", "line", F.explode(F.concat(line_spots(line, size, ladder, True), line_spots(line, size, ladder, False))).alias("s"))
+        rows = each.join(common.small(hot), F.col("s.key") == F.col("hot"), "left_semi")
+        rows = rows.select("s.key", "lh", "first", "s.edits", "s.less", "s.own", without(line, F.col("s.start"), F.col("s.size")).alias("rest"))
+        for _ in range(LEVELS):
+            rows = common.written(finer(rows, ladder), "finer-segments")
+            hot = hot_keys(rows)
+            pairs.append(common.written(cool_pairs(rows, hot), "line-pairs"))
+            rows = rows.join(common.small(hot), F.col("key") == F.col("hot"), "left_semi")
+            if not hot.limit(1).count():
+                break
+            late.append(centered(rows, ladder))
+            rows = common.written(undecided(rows, late[-1]), "finer-segments")
+        else:
+            if rows.limit(1).count():
+                late.append(common.written(in_blocks(rows, ladder), "near-lines"))
+    met = reduce(DataFrame.unionByName, pairs).distinct()
+    wanted = common.written(met.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted-lines")
+    texts = texts_of(docs, wanted, least).join(lines.select("lh", "first"), "lh")
+    texts = common.written(texts.select("lh", "first", "line"), "line-texts")
+    a, b = texts.select(F.col("lh").alias("a"), "lh", "first", "line"), texts.select(F.col("lh").alias("b"), F.col("lh").alias("lh_c"), F.col("first").alias("first_c"), F.col("line").alias("line_c"))
+    longer = F.length("line_c") - F.length("line")
+    both = met.join(a, "a").join(b, "b").where((longer > 0) | (longer == 0) & (F.col("a") < F.col("b")))
+    late.append(later_of(both.where(near(line, F.col("line_c"), allowed(F.length("line"), ladder), ladder))))
+    return common.written(reduce(DataFrame.unionByName, late).distinct(), "near-lines")
+
+
+def removed_lines(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """(doc_id, th, gone): the line numbers that go, of the documents that lose any; written."""
     found = occurrences(docs)
-    line, size = F.col("line"), F.col("size")
-    keys = [c.alias(f"k{i}") for i, c in enumerate(index_keys(line, size, edits))] + [c.alias(f"p{i}") for i, c in enumerate(probe_keys(line, size, edits))]
-    names = [f"k{i}" for i in range(edits + 1)] + [f"p{i}" for i in range(len(keys) - edits - 1)]
-    place = F.struct("doc_id", "pos")
-    lines = found.select("lh", place.alias("place"), *keys).groupBy("lh").agg(F.min("place").alias("first"), F.max("place").alias("last"), *[F.max(k).alias(k) for k in names])
+    line, size, place = F.col("line"), F.col("size"), F.struct("doc_id", "pos")
+    keys = lambda own: F.transform(line_spots(line, size, ladder, own), lambda s: s["key"])
+    lines = found.select("lh", place.alias("place"), keys(True).alias("k"), keys(False).alias("p"))
+    lines = lines.groupBy("lh").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("k").alias("k"), F.first("p").alias("p"))
     lines = common.written(lines, "lines")
-    near = near_pairs(docs, lines.drop("first", "last"), edits)
-    order = lambda end: lines.select(F.col("lh").alias(end), F.struct("first", "lh").alias(f"first_{end}"))
-    later = near.join(order("a"), "a").join(order("b"), "b").select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("lh")).distinct()
-    later = common.written(later.withColumn("late", F.lit(True)), "near-lines")
+    later = near_lines(docs, lines, ladder).withColumn("late", F.lit(True))
     listed = lines.join(later, "lh", "left").where("late or first != last").select(F.col("lh").alias("bad"), "first", F.coalesce("late", F.lit(False)).alias("late"))
     listed = common.written(listed, "repeated-lines")
     spots = found.select("doc_id", "th", "pos", "lh", place.alias("place")).join(common.small(listed), F.col("lh") == F.col("bad"))
@@ -191,10 +282,10 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return common.written(gone.withColumnsRenamed({"doc_id": "k_id", "th": "k_th"}), "removed-lines")
 
 
-def _with_gone(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
-    gone = removed_lines(docs, edits)
-    total = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    return docs, F.broadcast(gone) if total <= BROADCAST_LINES else gone
+def _with_gone(docs: DataFrame, ladder: Ladder) -> DataFrame:
+    gone = removed_lines(docs, ladder)
+    held = gone.agg(F.sum(F.size("gone") * 4 + 64)).first()[0] or 0
+    return F.broadcast(gone) if held <= BROADCAST_BYTES else gone
 
 
 def cleaned(text: Column, gone: Column) -> Column:
@@ -203,9 +294,9 @@ def cleaned(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(kept(gone))
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_dedup(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """docs with cleaned texts, and n_chars counted anew if there is such a column."""
-    _, gone = _with_gone(docs, edits)
+    gone = _with_gone(docs, ladder)
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).join(gone, F.col("_doc.doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col("_doc.text")) == F.col("k_th")), "left")
     both = both.select("_doc", cleaned(F.col("_doc.text"), F.col("gone")).alias("_new"))
     kinds = dict(docs.dtypes)
@@ -213,9 +304,9 @@ def line_dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return both.select(*[new[c].alias(c) if c in new else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
-def line_dedup_report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_dedup_report(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 (of the cleaned text; null text: of the empty one)."""
-    _, gone = _with_gone(docs, edits)
+    gone = _with_gone(docs, ladder)
     both = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_th")), "left")
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     text = F.coalesce(cleaned(F.col("text"), F.col("gone")), F.lit(""))

@@ -125,22 +125,35 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id is not
 from d join comp using (rid) left join n using (rid)
 """
 
+#: Allowed edits by the shorter line's length. Two edits leave the first 12 characters, the last 12, or the next 12 whole, the latter shifted by one at most.
+_E = "case " + " ".join(f"when {{0}} >= {n} then {k}" for n, k in reversed(linededup.LADDER)) + " else 0 end"
+_LCP = "(coalesce(list_position(list_transform(range(1, least(len(a), len(b)) - greatest({i}, {j}) + 1), lambda k: a[{i} + k] = b[{j} + k]), false), least(len(a) - {i}, len(b) - {j}) + 1) - 1)"
 OP9 = f"""
-with l as (
+with recursive l as (
   select doc_id, pos, string_split(coalesce(text, ''), chr(10))[pos + 1] as line
   from (select doc_id, text, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents)),
 f as (
-  select line, length(line) as n, doc_id as d, pos as p from (select *, row_number() over (partition by line order by doc_id, pos) as k from l where length(line) >= {linededup.MIN_CHARS}) where k = 1),
+  select line, length(line) as n, doc_id as d, pos as p
+  from (select *, row_number() over (partition by line order by doc_id, pos) as k from l where regexp_matches(line, '[^\\x20\\x09-\\x0D]')) where k = 1),
+g as (select *, {_E.format("n")} as e from f where n >= {linededup.LADDER[0][0]}),
 c as (
-  select a.line as a, b.line as b, a.n as na, b.n as nb from f a join f b on left(a.line, 20) = left(b.line, 20) and a.n - b.n between -1 and 1 and (a.d, a.p) < (b.d, b.p)
+  select a.line as x, b.line as y, a.e from g a join g b on left(a.line, 12) = left(b.line, 12) and b.n - a.n between 0 and a.e and a.line <> b.line
   union
-  select a.line, b.line, a.n, b.n from f a join f b on right(a.line, 20) = right(b.line, 20) and a.n - b.n between -1 and 1 and (a.d, a.p) < (b.d, b.p)),
-x as (
-  select b, na, nb, max(case when left(a, i) = left(b, i) then i end) as pre, max(case when right(a, i) = right(b, i) then i end) as suf
-  from (select *, unnest(range(least(na, nb) + 1)) as i from c) group by a, b, na, nb),
-late as (select distinct b as line from x where pre + suf >= case when na = nb then na - 1 else least(na, nb) end),
+  select a.line, b.line, a.e from g a join g b on right(a.line, 12) = right(b.line, 12) and b.n - a.n between 0 and a.e and a.line <> b.line
+  union
+  select a.line, b.line, a.e from g a join (select *, unnest([11, 12, 13]) + 1 as s from g) b on substr(a.line, 13, 12) = substr(b.line, s, 12) and b.n - a.n between 0 and a.e and a.line <> b.line),
+t as (select x, y, e, string_split(x, '') as a, string_split(y, '') as b from c),
+r as (
+  select x, y, e, a, b, {_LCP.format(i="0", j="0")} as i, {_LCP.format(i="0", j="0")} as j, 0 as d from t
+  union
+  select x, y, e, a, b, i + {_LCP.format(i="i", j="j")} as i, j + {_LCP.format(i="i", j="j")} as j, d
+  from (select x, y, e, a, b, i + di as i, j + dj as j, d + 1 as d from r, (values (1, 1), (1, 0), (0, 1)) o(di, dj) where d < e and i + di <= len(a) and j + dj <= len(b))),
+near as (select distinct x, y from r where i = len(a) and j = len(b)),
+late as (
+  select distinct case when (u.d, u.p) < (v.d, v.p) then y else x end as line
+  from near join g u on u.line = x join g v on v.line = y),
 k as (
-  select l.doc_id, l.pos, l.line, length(l.line) < {linededup.MIN_CHARS} or (f.d = l.doc_id and f.p = l.pos and late.line is null) as stays
+  select l.doc_id, l.pos, l.line, f.line is null or (f.d = l.doc_id and f.p = l.pos and late.line is null) as stays
   from l left join f on f.line = l.line left join late on late.line = l.line)
 select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_removed,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (stays), '')) as text_sha256
