@@ -3,8 +3,11 @@
 Counts per document are array expressions over its own words, so nothing is shuffled for them.
 Thresholds come from mergeable quantile sketches: a non-negative integer metric falls into a
 logarithmic bucket (its 7 leading bits: relative error under 1/64), a sketch is the bucket counts,
-and sketches merge by adding counts, whatever the order. They are kept per (lang, source); a group
-of few documents takes the merged sketch of its language, or of everything. Partial aggregation
+and sketches merge by adding counts, whatever the order. They are kept per (lang, source). To each, the
+sketch of its language is merged with the weight of PRIOR documents, and to that the sketch of all
+documents likewise, so that small groups lean on wider ones without a switch. A metric's upper limit is
+an upper quantile of the group's sketch, half its distance from the median beyond, and a small slack; the
+quantile leaves room for the share of documents that may be bad by that metric. Partial aggregation
 runs before the shuffle, so a source that holds a third of all rows costs one row a bucket and task.
 
 Defined results: null text counts as empty (0 words, base_failed). Null lang or source is a group
@@ -15,7 +18,7 @@ Two different 5-word windows are taken as equal if their 64-bit hashes meet (abo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -23,12 +26,10 @@ from . import common
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-#: A sketch of fewer documents is replaced by the next wider one.
-MIN_GROUP = 200
-#: Fences lie FENCE interquartile ranges, and a metric's slack, outside the quartiles.
-FENCE = 3
-#: Metric -> (per mille or hundredths, slack, whether low values are outliers too).
-METRICS = {"symbol_pm": (20, False), "repeat_pm": (150, False), "dup_line_pm": (500, False), "word_len_c": (150, True)}
+#: The weight in documents of the next wider sketch, and the unit of weights.
+PRIOR, UNIT = 20, 10**12
+#: Metric -> (upper quantile in per cent, slack in per mille or hundredths, whether low values are outliers too).
+METRICS = {"symbol_pm": (90, 20, False), "repeat_pm": (99, 20, False), "dup_line_pm": (99, 50, False), "word_len_c": (95, 50, True)}
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -87,38 +88,42 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count("*").alias("n"))
 
 
+def weighted(sketch: DataFrame) -> DataFrame:
+    """(lang, source, metric, bucket, w): the sketch of each group with its language's and everything's merged in, in whole weights."""
+    big = lambda c: c.cast("decimal(38,0)")
+    groups = common.written(sketch.where(F.col("metric") == next(iter(METRICS))).groupBy("lang", "source").agg(F.sum("n").alias("n_group")), "quality-groups")
+    langs = groups.groupBy(F.col("lang").alias("l")).agg(F.sum("n_group").alias("n_lang"))
+    total = groups.agg(F.sum("n_group")).first()[0] or 1
+    share = groups.join(langs, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", F.expr(f"cast({PRIOR} * {UNIT} div (n_lang + {PRIOR}) as bigint)").alias("w_lang"))
+    share = share.select("*", F.expr(f"cast(w_lang * {PRIOR} div {total} as bigint)").alias("w_all"))
+    own = sketch.select("lang", "source", "metric", "bucket", (big(F.col("n")) * F.lit(UNIT)).alias("w"))
+    merged = lambda *by: sketch.groupBy(*by).agg(F.sum("n").alias("n"))
+    of_lang = merged(F.col("lang").alias("l"), "metric", "bucket").join(share, F.col("lang").eqNullSafe(F.col("l"))).select("lang", "source", "metric", "bucket", (big(F.col("n")) * F.col("w_lang")).alias("w"))
+    # at most a few hundred buckets a metric, however many documents
+    of_all = share.withColumn("m", F.explode(F.array(*map(F.lit, METRICS)))).join(F.broadcast(merged("metric", "bucket")), F.col("m") == F.col("metric"))
+    of_all = of_all.select("lang", "source", "metric", "bucket", (big(F.col("n")) * F.col("w_all")).alias("w"))
+    return own.unionByName(of_lang).unionByName(of_all).groupBy("lang", "source", "metric", "bucket").agg(big(F.sum("w")).alias("w"))
+
+
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, low and high of every metric): from the narrowest sketch of MIN_GROUP documents or more, else the widest."""
-    from pyspark.sql import Window
-
-    level = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("level")  # itself, its language, everything
-    wide = sketch.select("metric", "bucket", "n", level, "lang", "source").select(
-        "level", F.when(F.col("level") < 2, F.col("lang")).alias("lang"), F.when(F.col("level") < 1, F.col("source")).alias("source"), "metric", "bucket", "n")
-    keys = ["level", "lang", "source", "metric"]
-    merged = wide.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    """(t_lang, t_source, t): low and high of every metric."""
+    keys = ["lang", "source", "metric"]
     by = Window.partitionBy(*keys)
-    run = merged.withColumns({"upto": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)})
-    q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    fences = run.groupBy(*keys).agg(q(25).alias("q25"), q(75).alias("q75"), F.max("total").alias("total"))
-    slack = F.create_map(*[F.lit(x) for m, (s, _) in METRICS.items() for x in (m, s)])
-    gap = FENCE * (F.col("q75") - F.col("q25")) + slack[F.col("metric")]
-    two_sided = F.col("metric").isin(*[m for m, (_, both) in METRICS.items() if both])
-    fences = fences.select(*keys, "total", (F.col("q75") + gap).alias("high"), F.when(two_sided, F.col("q25") - gap).alias("low"))
-    row = fences.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"),
-        *[F.max(F.when(F.col("metric") == m, F.col("high"))).alias(f"high_{m}") for m in METRICS],
-        *[F.max(F.when(F.col("metric") == m, F.col("low"))).alias(f"low_{m}") for m in METRICS])
-    values = F.struct(*[F.col(f"{end}_{m}") for end in ("high", "low") for m in METRICS])
-    here, lang, all_ = (row.where(F.col("level") == k).select(F.col("lang").alias(f"l{k}"), F.col("source").alias(f"s{k}"), F.col("total").alias(f"t{k}"), values.alias(f"v{k}")) for k in range(3))
-    joined = here.join(lang, here["l0"].eqNullSafe(lang["l1"])).join(F.broadcast(all_))  # all_ is one row
-    best = F.when(F.col("t0") >= MIN_GROUP, F.col("v0")).when(F.col("t1") >= MIN_GROUP, F.col("v1")).otherwise(F.col("v2"))
-    return joined.select(F.col("l0").alias("t_lang"), F.col("s0").alias("t_source"), best.alias("t"))
+    run = weighted(sketch).withColumns({"upto": F.sum("w").over(by.orderBy("bucket")), "total": F.sum("w").over(by)})
+    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket")))
+    per_metric = lambda of: F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, of(v))]), F.col("metric"))
+    found = run.groupBy(*keys).agg(at(per_metric(lambda v: v[0])).alias("top"), at(50).alias("mid"), at(100 - per_metric(lambda v: v[0])).alias("bottom"))
+    slack, both = per_metric(lambda v: v[1]), per_metric(lambda v: v[2])
+    limits = found.select(*keys, (F.col("top") + F.expr("(top - mid) div 2") + slack).alias("high"), F.when(both, F.col("bottom") - F.expr("(mid - bottom) div 2") - slack).alias("low"))
+    ends = [F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{end}_{m}") for end in ("high", "low") for m in METRICS]
+    row = limits.groupBy("lang", "source").agg(*ends)
+    return row.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*[F.col(f"{end}_{m}") for end in ("high", "low") for m in METRICS]).alias("t"))
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """measured with `_kept`: within the base rules and all fences of its group. Groups without a sketch have no document that passes the base rules."""
     bad = F.lit(False)
-    for m, (_, both) in METRICS.items():
+    for m, (_, _, both) in METRICS.items():
         v = F.col(f"_q.{m}")
         bad = bad | (v > F.col(f"t.high_{m}"))
         if both:
@@ -132,11 +137,10 @@ def limits_of(measured: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Texts are measured twice rather than shuffled or stored."""
-    limits = limits_of(measures(docs, []))
+    """The documents that pass, with their own columns. Measured once: the rows are written with their measures, of which alone the sketches read."""
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_text"), F.col("lang").alias("_dl"), F.col("source").alias("_ds"))
-    kept = judged(measures(held, ["_doc"], "_text", "_dl", "_ds"), limits).where("_kept")
-    return kept.select("_doc.*")
+    measured = common.written(measures(held, ["_doc"], "_text", "_dl", "_ds"), "quality-measures")
+    return judged(measured, limits_of(measured)).where("_kept").select("_doc.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

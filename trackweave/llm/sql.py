@@ -34,38 +34,36 @@ vals as (
   {vals}),
 buckets as (
   select lang, source, metric, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) as bucket from vals),
-levels as (
-  select 0 as level, lang, source, metric, bucket from buckets union all
-  select 1, lang, null, metric, bucket from buckets union all
-  select 2, null, null, metric, bucket from buckets),
-sketch as (select level, lang, source, metric, bucket, count(*) as n from levels group by all),
+sketch as (select lang, source, metric, bucket, count(*) as n from buckets group by all),
+groups as (select lang, source, count(*) as n_group from m where not base_failed group by all),
+share as (
+  select g.lang, g.source, {prior} * {unit}::hugeint // (n_lang + {prior}) as w_lang, n_all
+  from groups g join (select lang, sum(n_group) as n_lang from groups group by all) l on g.lang is not distinct from l.lang, (select sum(n_group) as n_all from groups)),
+weights as (select lang, source, w_lang, w_lang * {prior} // n_all as w_all from share),
+parts as (
+  select lang, source, metric, bucket, n * {unit}::hugeint as w from sketch union all
+  select s.lang, s.source, metric, bucket, n * w_lang from weights s join (select lang, metric, bucket, sum(n) as n from sketch group by all) l on s.lang is not distinct from l.lang union all
+  select s.lang, s.source, metric, bucket, n * w_all from weights s, (select metric, bucket, sum(n) as n from sketch group by all)),
+merged as (select lang, source, metric, bucket, sum(w) as w from parts group by all),
 run as (
-  select *, sum(n) over (partition by level, lang, source, metric order by bucket) as upto,
-    sum(n) over (partition by level, lang, source, metric) as total from sketch),
-quart as (
-  select level, lang, source, metric, max(total) as total,
-    min(case when 100 * upto >= 25 * total then bucket end) as q25, min(case when 100 * upto >= 75 * total then bucket end) as q75
-  from run group by level, lang, source, metric),
-fence as (
-  select level, lang, source, metric, total, q75 + {k} * (q75 - q25) + slack as high, case when both_sides then q25 - {k} * (q75 - q25) - slack end as low
-  from quart join ({slacks}) using (metric)),
+  select *, sum(w) over (partition by lang, source, metric order by bucket) as upto, sum(w) over (partition by lang, source, metric) as total from merged),
+quant as (
+  select lang, source, metric, slack, both_sides, min(case when 100 * upto >= top * total then bucket end) as hi,
+    min(case when 100 * upto >= 50 * total then bucket end) as mid, min(case when 100 * upto >= (100 - top) * total then bucket end) as lo
+  from run join ({slacks}) using (metric) group by all),
 limits as (
-  select a.lang, a.source, a.metric,
-    case when a.total >= {group} then a.high when b.total >= {group} then b.high else c.high end as high,
-    case when a.total >= {group} then a.low when b.total >= {group} then b.low else c.low end as low
-  from fence a join fence b on b.level = 1 and a.metric = b.metric and a.lang is not distinct from b.lang
-  join fence c on c.level = 2 and a.metric = c.metric where a.level = 0),
+  select lang, source, metric, hi + (hi - mid) // 2 + slack as high, case when both_sides then lo - (mid - lo) // 2 - slack end as low from quant),
 wide as (select lang, source, {wide} from limits group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce({bad}, false) as kept, symbol_pm, repeat_pm, dup_line_pm, word_len_c
 from m left join wide on m.lang is not distinct from wide.lang and m.source is not distinct from wide.source
 """
 OP1 = _Q.format(
-    min_words=quality.MIN_WORDS, repeat=quality.REPEAT_PERCENT, k=quality.FENCE, group=quality.MIN_GROUP,
+    min_words=quality.MIN_WORDS, repeat=quality.REPEAT_PERCENT, prior=quality.PRIOR, unit=quality.UNIT,
     vals=" union all ".join(f"select lang, source, '{m}' as metric, {m} as v from m where not base_failed" for m in _M),
-    slacks=" union all ".join(f"select '{m}' as metric, {s} as slack, {str(both).lower()} as both_sides" for m, (s, both) in _M.items()),
+    slacks=" union all ".join(f"select '{m}' as metric, {t} as top, {s} as slack, {str(both).lower()} as both_sides" for m, (t, s, both) in _M.items()),
     wide=", ".join(f"max(case when metric = '{m}' then high end) as high_{m}, max(case when metric = '{m}' then low end) as low_{m}" for m in _M),
-    bad=" or ".join(f"m.{m} > wide.high_{m}" + f" or m.{m} < wide.low_{m}" * both for m, (_, both) in _M.items()))
+    bad=" or ".join(f"m.{m} > wide.high_{m}" + f" or m.{m} < wide.low_{m}" * both for m, (_, _, both) in _M.items()))
 
 OP4 = f"""
 with r as (

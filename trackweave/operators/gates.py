@@ -1,36 +1,94 @@
 """Gates and dedupes that depend on what was let through before.
 
-A greedy gate is a fold over a key's rows in order. A key's rows are folded in one task; rows carry only
-what the fold needs, and `span_us` cuts a key's history where a gap reopens the gate whatever came
-before, so that a key with such pauses is folded in pieces; a dense key is one piece.
+Whether a greedy gate lets a row through depends on the last row that it let through, and so on all of a
+key's history. The history is cut into slices of SLICE gaps. Each slice works out in parallel what time was
+last let through at its end, for whatever time was last let through before it: a short list of steps. The
+steps of a key are chained in order, which tells each slice where it starts, and the slices then admit their
+rows in parallel. A key with a third of all rows is thus worked on in as many slices as its time span has.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Width of a slice in gaps.
+SLICE = 256
+#: Stands for the time of the last admitted row of a key that has none yet.
+NEVER = -(2**62)
 
-def pieces(rows: DataFrame, keys: list[str], at: str, order: list[str], gap_us: Column) -> DataFrame:
-    """rows with `piece`: a new one wherever the row before is gap_us or more ago, which admits the row in any case."""
-    by = Window.partitionBy(*keys).orderBy(at, *order)
-    starts = (F.col(at) - F.lag(at).over(by) >= gap_us).cast("int")
-    return rows.withColumn("piece", F.sum(F.coalesce(starts, F.lit(1))).over(by))
+
+def next_admitted(t: np.ndarray, gap: int, free: np.ndarray) -> np.ndarray:
+    """For sorted times, the row that is let through next after each row; len(t) for none."""
+    n = len(t)
+    own = np.arange(1, n + 1)
+    due = np.maximum(np.searchsorted(t, t + gap), own)
+    frees = np.append(np.flatnonzero(free), n)
+    return np.minimum(due, frees[np.searchsorted(frees, own)])
+
+
+def slice_steps(t: np.ndarray, gap: int, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(upto, last): after a row admitted at upto[k] at the latest, and later than upto[k - 1], the slice ends with last[k]; after a later one, with that itself."""
+    n = len(t)
+    end = np.append(next_admitted(t, gap, free), n)
+    while (end[end[:n]] != n).any():
+        end[:n] = np.where(end[end[:n]] == n, end[:n], end[end[:n]])
+    last = t[np.where(end[:n] == n, np.arange(n), end[:n])]
+    upto = np.where(np.maximum.accumulate(free), t[0], np.minimum(t - gap, t[0]))
+    new = np.append(upto[:-1] != upto[1:], True)  # of rows that admit for the same entries, the first counts
+    first = np.append(0, np.flatnonzero(new)[:-1] + 1)
+    upto, last = upto[first], last[first]
+    differs = np.append(last[:-1] != last[1:], True)
+    return upto[differs], last[differs]
 
 
 def greedy(rows: DataFrame, keys: list[str], at: str, order: list[str], gap_us: Column, bypass: Column | None = None) -> DataFrame:
-    """The admitted rows, as (keys, at, order): at least gap_us after the last admitted one of the key, or bypassing, which restarts the clock."""
-    item = F.struct(F.col(at).alias("t"), *order, gap_us.cast("long").alias("gap"), (F.lit(False) if bypass is None else bypass).alias("free"))
-    grouped = pieces(rows, keys, at, order, gap_us).groupBy(*keys, "piece").agg(F.array_sort(F.collect_list(item)).alias("rows"))
-    kind = grouped.schema["rows"].dataType.elementType.simpleString()
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-
-    def step(s: Column, x: Column) -> Column:
-        admit = s["last"].isNull() | x["free"] | (x["t"] - s["last"] >= x["gap"])
-        return F.struct(F.when(admit, x["t"]).otherwise(s["last"]).alias("last"), F.when(admit, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
-
-    kept = grouped.select(*keys, F.explode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("x"))
-    return kept.select(*keys, F.col("x.t").alias(at), *[F.col(f"x.{o}").alias(o) for o in order])
+    """The admitted rows, as (keys, at, order): at least gap_us after the last admitted one of the key, or bypassing, which restarts the clock.
+
+    gap_us is the same for all rows of a key. Rows with a null time are never admitted; a null gap is none."""
+    gap = F.greatest(F.coalesce(gap_us, F.lit(0)), F.lit(0)).cast("long")
+    named = rows.where(F.col(at).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(at).cast("long").alias("_t"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], gap.alias("_gap"), F.coalesce(F.lit(False) if bypass is None else bypass, F.lit(False)).alias("_free"))
+    cut = named.withColumn("_slice", F.floor(F.col("_t") / (F.greatest(F.col("_gap"), F.lit(1_000_000)) * SLICE)))
+    by = [f"_k{i}" for i in range(len(keys))]
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    head = ", ".join(f"{k} {kinds[k]}" for k in by)
+
+    def sorted_times(table: pa.Table) -> tuple[pa.Table, np.ndarray, int, np.ndarray]:
+        table = table.sort_by([("_t", "ascending"), *[(f"_o{i}", "ascending") for i in range(len(order))]])
+        return table, table.column("_t").to_numpy(), table.column("_gap")[0].as_py(), table.column("_free").to_numpy()
+
+    def steps(table: pa.Table) -> pa.Table:
+        table, t, gap, free = sorted_times(table)
+        upto, last = slice_steps(t, gap, free)
+        lists = {name: pa.array([x], pa.list_(pa.int64())) for name, x in (("upto", upto), ("last", last))}
+        return pa.table({**{c: table.column(c).slice(0, 1) for c in (*by, "_slice")}, **lists})
+
+    def chain(slices: pd.DataFrame) -> pd.DataFrame:
+        found, last = [], NEVER
+        for upto, end in zip(slices["upto"], slices["last"], strict=True):
+            found.append(last)
+            k = int(np.searchsorted(upto, last))
+            last = int(end[k]) if k < len(upto) else last
+        return slices[[*by, "_slice"]].assign(_entry=found)
+
+    def admit(left: pa.Table, entry: pa.Table) -> pa.Table:
+        left, t, gap, free = sorted_times(left)
+        last, following, taken = entry.column("_entry")[0].as_py(), next_admitted(t, gap, free), []
+        frees = np.append(np.flatnonzero(free), len(t))
+        row = int(min(np.searchsorted(t, last + gap) if last != NEVER else 0, frees[0]))
+        while row < len(t):
+            taken.append(row)
+            row = int(following[row])
+        return left.take(pa.array(taken, pa.int64())).select([*by, "_t", *[f"_o{i}" for i in range(len(order))]])
+
+    found = cut.groupBy(*by, "_slice").applyInArrow(steps, f"{head}, _slice long, upto array<long>, last array<long>")
+    entries = found.groupBy(*by).applyInPandas(lambda pdf: chain(pdf.sort_values("_slice")), f"{head}, _slice long, _entry long")
+    out = ", ".join(f"{c} {kinds[c]}" for c in (*by, "_t", *[f"_o{i}" for i in range(len(order))]))
+    kept = cut.groupBy(*by, "_slice").cogroup(entries.groupBy(*by, "_slice")).applyInArrow(admit, out)
+    return kept.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_t").alias(at), *[F.col(f"_o{i}").alias(o) for i, o in enumerate(order)])
 
 
 def onset(rows: DataFrame, keys: list[str], order: list[str], level: Column) -> DataFrame:
