@@ -6,7 +6,7 @@ logarithmic bucket (its 7 leading bits: relative error under 1/64), a sketch is
 and sketches merge by adding counts, whatever the order. They are kept per (lang, source). To each, the
 sketch of its language is merged with the weight of PRIOR documents, and to that the sketch of all
 documents likewise, so that small groups lean on wider ones without a switch. A metric's upper limit is
-an upper quantile of the group's sketch, half its distance from the median beyond, and a small slack; the
+an upper quantile of the group's sketch, its distance from the median beyond, and a small slack; the
 quantile leaves room for the share of documents that may be bad by that metric. Partial aggregation
 runs before the shuffle, so a source that holds a third of all rows costs one row a bucket and task.
 
@@ -114,7 +114,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     per_metric = lambda of: F.element_at(F.create_map(*[F.lit(x) for m, v in METRICS.items() for x in (m, of(v))]), F.col("metric"))
     found = run.groupBy(*keys).agg(at(per_metric(lambda v: v[0])).alias("top"), at(50).alias("mid"), at(100 - per_metric(lambda v: v[0])).alias("bottom"))
     slack, both = per_metric(lambda v: v[1]), per_metric(lambda v: v[2])
-    limits = found.select(*keys, (F.col("top") + F.expr("(top - mid) div 2") + slack).alias("high"), F.when(both, F.col("bottom") - F.expr("(mid - bottom) div 2") - slack).alias("low"))
+    limits = found.select(*keys, (2 * F.col("top") - F.col("mid") + slack).alias("high"), F.when(both, 2 * F.col("bottom") - F.col("mid") - slack).alias("low"))
     ends = [F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{end}_{m}") for end in ("high", "low") for m in METRICS]
     row = limits.groupBy("lang", "source").agg(*ends)
     return row.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), F.struct(*[F.col(f"{end}_{m}") for end in ("high", "low") for m in METRICS]).alias("t"))

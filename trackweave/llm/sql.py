@@ -52,7 +52,7 @@ quant as (
     min(case when 100 * upto >= 50 * total then bucket end) as mid, min(case when 100 * upto >= (100 - top) * total then bucket end) as lo
   from run join ({slacks}) using (metric) group by all),
 limits as (
-  select lang, source, metric, hi + (hi - mid) // 2 + slack as high, case when both_sides then lo - (mid - lo) // 2 - slack end as low from quant),
+  select lang, source, metric, 2 * hi - mid + slack as high, case when both_sides then 2 * lo - mid - slack end as low from quant),
 wide as (select lang, source, {wide} from limits group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce({bad}, false) as kept, symbol_pm, repeat_pm, dup_line_pm, word_len_c
