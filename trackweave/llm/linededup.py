@@ -14,7 +14,8 @@ level. From the second level on, the lines of a hot key are first held against i
 keys whose lines are all decided are done. What is hot after LEVELS levels is compared in blocks of
 bounded size: no pair becomes a row, but the work grows with the square of the lines that differ only in
 the little that remains and are yet too far from the earliest.
-Candidates are verified by an edit distance within a band of 2 k + 1 diagonals, kept as bit vectors
+Candidates whose character counts differ in parity on more than 2 k of 64 bits cannot be within k edits and go;
+the others are verified by an edit distance within a band of 2 k + 1 diagonals, kept as bit vectors
 that move down one row a column. All of it is built-in functions.
 
 Distinct lines are pre-aggregated to numbers: texts are read again for the candidates only, and shuffled
@@ -67,28 +68,50 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(start, length) of each of edits + 1 segments of a line of this length, as even as can be, the shorter first."""
     k, out, start = edits + 1, [], F.lit(0)
     for i in range(k):
-        size = F.floor((length + i) / k).cast("int")
+        size = F.call_function("div", length + i, F.lit(k)).cast("int")
         out.append((start, size))
         start = start + size
     return out
 
 
+def places(length: Column, edits: int, less: int, own: bool) -> list[tuple[int, Column, Column]]:
+    """(segment, start, length) of what a text's keys are made of: its own segments, or the substrings that may match segments of a text shorter by less."""
+    shifts = lambda i: [0] if own else range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    return [(i, start + shift, size) for i, (start, size) in enumerate(segments(length - less, edits)) for shift in shifts(i)]
+
+
+def key_of(text: Column, length: Column, edits: int, less: int, place: tuple[int, Column, Column], *salt: Column) -> Column:
+    i, start, size = place
+    return F.xxhash64(F.lit(edits), length - less, F.lit(i), F.substring(text, start + 1, size), *salt)
+
+
 def spots(text: Column, length: Column, edits: int, less: int, own: bool, *salt: Column) -> Column:
-    """Keys of a text, as structs (key, own, less, edits, start, size): its own segments, or the substrings that may match segments of a text shorter by less."""
-    out = []
-    for i, (start, size) in enumerate(segments(length - less, edits)):
-        shifts = [0] if own else range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
-        for shift in shifts:
-            key = F.xxhash64(F.lit(edits), length - less, F.lit(i), F.substring(text, start + shift + 1, size), *salt)
-            out.append(F.struct(key.alias("key"), F.lit(own).alias("own"), F.lit(less).alias("less"), F.lit(edits).alias("edits"), (start + shift).alias("start"), size.alias("size")))
-    return F.array(*out)
+    """The keys of a text, as structs (key, own, less, edits, start, size)."""
+    named = lambda p: (key_of(text, length, edits, less, p, *salt).alias("key"), F.lit(own).alias("own"), F.lit(less).alias("less"), F.lit(edits).alias("edits"), p[1].alias("start"), p[2].alias("size"))
+    return F.array(*[F.struct(*named(p)) for p in places(length, edits, less, own)])
+
+
+def line_parts(length: Column, ladder: Ladder, own: bool) -> list[tuple[Column, int, int]]:
+    """(whether the line has such keys, edits, less) of all keys of a line as an index (own) or as a probe."""
+    return [(on_step(length - less, low, high), edits, less) for low, high, edits in steps(ladder) for less in ([0] if own else range(edits + 1))]
 
 
 def line_spots(line: Column, length: Column, ladder: Ladder, own: bool) -> Column:
-    """All keys of a line as an index (own) or as a probe."""
     none = F.array().cast("array<struct<key: bigint, own: boolean, less: int, edits: int, start: int, size: int>>")
-    each = [F.when(on_step(length - less, low, high), spots(line, length, edits, less, own)).otherwise(none) for low, high, edits in steps(ladder) for less in ([0] if own else range(edits + 1))]
-    return F.concat(none, *each)
+    return F.concat(none, *[F.when(on, spots(line, length, edits, less, own)).otherwise(none) for on, edits, less in line_parts(length, ladder, own)])
+
+
+def line_keys(line: Column, length: Column, ladder: Ladder, own: bool) -> Column:
+    """The keys of line_spots alone, as plain expressions that compile."""
+    none = F.array().cast("array<bigint>")
+    keys = lambda edits, less: F.array(*[key_of(line, length, edits, less, p) for p in places(length, edits, less, own)])
+    return F.concat(none, *[F.when(on, keys(edits, less)).otherwise(none) for on, edits, less in line_parts(length, ladder, own)])
+
+
+def signature(line: Column) -> Column:
+    """64 bits: the parity of how many characters fall on each. An edit changes two at most."""
+    chars = F.filter(F.split(line, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(0).cast("long"), lambda s, c: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c).bitwiseAND(F.lit(63)))))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -257,11 +280,14 @@ def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
     met = reduce(DataFrame.unionByName, pairs).distinct()
     wanted = common.written(met.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted-lines")
     texts = texts_of(docs, wanted, least).join(lines.select("lh", "first"), "lh")
-    texts = common.written(texts.select("lh", "first", "line"), "line-texts")
-    a, b = texts.select(F.col("lh").alias("a"), "lh", "first", "line"), texts.select(F.col("lh").alias("b"), F.col("lh").alias("lh_c"), F.col("first").alias("first_c"), F.col("line").alias("line_c"))
+    texts = common.written(texts.select("lh", "first", "line", signature(line).alias("sign")), "line-texts")
+    a = texts.select(F.col("lh").alias("a"), "lh", "first", "line", "sign")
+    b = texts.select(F.col("lh").alias("b"), *[F.col(c).alias(f"{c}_c") for c in ("lh", "first", "line", "sign")])
     longer = F.length("line_c") - F.length("line")
     both = met.join(a, "a").join(b, "b").where((longer > 0) | (longer == 0) & (F.col("a") < F.col("b")))
-    late.append(later_of(both.where(near(line, F.col("line_c"), allowed(F.length("line"), ladder), ladder))))
+    edits = allowed(F.length("line"), ladder)
+    alike = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_c"))) <= 2 * edits
+    late.append(later_of(both.where(alike & near(line, F.col("line_c"), edits, ladder))))
     return common.written(reduce(DataFrame.unionByName, late).distinct(), "near-lines")
 
 
@@ -269,8 +295,7 @@ def removed_lines(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """(doc_id, th, gone): the line numbers that go, of the documents that lose any; written."""
     found = occurrences(docs)
     line, size, place = F.col("line"), F.col("size"), F.struct("doc_id", "pos")
-    keys = lambda own: F.transform(line_spots(line, size, ladder, own), lambda s: s["key"])
-    lines = found.select("lh", place.alias("place"), keys(True).alias("k"), keys(False).alias("p"))
+    lines = found.select("lh", place.alias("place"), line_keys(line, size, ladder, True).alias("k"), line_keys(line, size, ladder, False).alias("p"))
     lines = lines.groupBy("lh").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("k").alias("k"), F.first("p").alias("p"))
     lines = common.written(lines, "lines")
     later = near_lines(docs, lines, ladder).withColumn("late", F.lit(True))
