@@ -18,8 +18,8 @@ Candidates whose character counts differ in parity on more than 2 k of 64 bits c
 the others are verified by an edit distance within a band of 2 k + 1 diagonals, kept as bit vectors
 that move down one row a column. All of it is built-in functions.
 
-Distinct lines are pre-aggregated to numbers: texts are read again for the candidates only, and shuffled
-only if their removed lines are more than a checked size.
+Distinct lines are pre-aggregated to numbers: texts of lines are read again for the candidates only. Whole texts
+are shuffled once, to meet the numbers of their removed lines; these grow with the input and are never broadcast.
 
 Defined results: null text counts as one empty line and stays null. Repeated rows of one id and text
 are one document, cleaned alike. Ties of first occurrences (an id with several texts) go to the lower
@@ -45,8 +45,6 @@ HOT = 16
 #: How often what remains of hot lines is cut again, and the size of the blocks that are compared then.
 LEVELS = 3
 BLOCK = 64
-#: Bytes that the removed line numbers may take, in Spark's rows, to be broadcast.
-BROADCAST_BYTES = 8 << 20
 WORD = "[^ \\t-\\r]"
 
 
@@ -307,12 +305,6 @@ def removed_lines(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     return common.written(gone.withColumnsRenamed({"doc_id": "k_id", "th": "k_th"}), "removed-lines")
 
 
-def _with_gone(docs: DataFrame, ladder: Ladder) -> DataFrame:
-    gone = removed_lines(docs, ladder)
-    held = gone.agg(F.sum(F.size("gone") * 4 + 64)).first()[0] or 0
-    return F.broadcast(gone) if held <= BROADCAST_BYTES else gone
-
-
 def cleaned(text: Column, gone: Column) -> Column:
     """text without the lines numbered in gone (null: all stay)."""
     kept = lambda gone: F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
@@ -321,7 +313,7 @@ def cleaned(text: Column, gone: Column) -> Column:
 
 def line_dedup(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """docs with cleaned texts, and n_chars counted anew if there is such a column."""
-    gone = _with_gone(docs, ladder)
+    gone = removed_lines(docs, ladder).hint("merge")
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).join(gone, F.col("_doc.doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64(F.col("_doc.text")) == F.col("k_th")), "left")
     both = both.select("_doc", cleaned(F.col("_doc.text"), F.col("gone")).alias("_new"))
     kinds = dict(docs.dtypes)
@@ -331,7 +323,7 @@ def line_dedup(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
 
 def line_dedup_report(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """doc_id, n_lines, n_removed, text_sha256 (of the cleaned text; null text: of the empty one)."""
-    gone = _with_gone(docs, ladder)
+    gone = removed_lines(docs, ladder).hint("merge")
     both = docs.select("doc_id", "text").join(gone, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_th")), "left")
     n = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
     text = F.coalesce(cleaned(F.col("text"), F.col("gone")), F.lit(""))
