@@ -8,10 +8,10 @@ The join: a line of k allowed edits is cut into k + 1 segments. k edits leave on
 more edits left of it than its number and no more right of it than the segments there, so two near lines
 share a segment, up to a shift that this bounds. Each distinct line is indexed by its segments, and probes
 the indexes of its own and of the k lesser lengths with the substrings that can match; keys are hashes of
-length, segment number and substring. Where more than HOT lines are indexed by one key, the segment is cut
-out of its lines, and what remains, which is still within the edits, is joined in the same way, level by
-level. From the second level on, the lines of a hot key are first held against its earliest line, and
-keys whose lines are all decided are done. What is hot after LEVELS levels is compared in blocks of
+length, segment number and substring. Where more than HOT lines are indexed by one key, they are first held
+against its earliest line, and keys whose lines are all decided are done. The segment is cut out of the lines
+of the others, and what remains, which is still within the edits, is joined in the same way, level by level.
+Near is always told from whole lines. What is hot after LEVELS levels is compared in blocks of
 bounded size: no pair becomes a row, but the work grows with the square of the lines that differ only in
 the little that remains and are yet too far from the earliest.
 Candidates whose character counts differ in parity on more than 2 k of 64 bits cannot be within k edits and go;
@@ -151,12 +151,12 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.length(b) <= edits) | (F.aggregate(common.let(rows, equal), start, step, end) <= edits)
 
 
-def near(a: Column, b: Column, edits: Column, ladder: Ladder) -> Column:
-    """within(a, b) of the allowed edits, which are a column with values of the ladder; b is the longer one."""
+def near(a: Column, b: Column, signs: tuple[Column, Column], edits: Column, ladder: Ladder) -> Column:
+    """within(a, b) of the allowed edits, which are a column with values of the ladder; b is the longer one. signs: their signatures."""
     found = F.lit(False)
     for k in sorted({k for _, _, k in steps(ladder)}):
         found = F.when(edits == k, (F.length(b) - F.length(a) <= k) & within(a, b, k)).otherwise(found)
-    return found
+    return (F.bit_count(signs[0].bitwiseXOR(signs[1])) <= 2 * edits) & found
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def without(text: Column, start: Column, size: Column) -> Column:
 
 
 def finer(rows: DataFrame, ladder: Ladder) -> DataFrame:
-    """What remains of each row, by the keys of its segments, without that segment. rows: key, lh, first, edits, less, own, rest."""
+    """What remains of each row, by the keys of its segments, without that segment. rows: key, lh, first, edits, less, own, rest, line, sign."""
     rest, size = F.col("rest"), F.length("rest")
     found = F.lit(None)
     for edits in sorted({k for _, _, k in steps(ladder)}):
@@ -201,8 +201,8 @@ def finer(rows: DataFrame, ladder: Ladder) -> DataFrame:
         found = F.when(here & F.col("own"), spots(rest, size, edits, 0, True, F.col("key"))).otherwise(found)
         for less in range(edits + 1):
             found = F.when(here & ~F.col("own") & (F.col("less") == less), spots(rest, size, edits, less, False, F.col("key"))).otherwise(found)
-    each = rows.select("lh", "first", "edits", "less", "own", "rest", F.explode(found).alias("s"))
-    return each.select(F.col("s.key").alias("key"), "lh", "first", "edits", "less", "own", without(rest, F.col("s.start"), F.col("s.size")).alias("rest"))
+    each = rows.select("lh", "first", "edits", "less", "own", "rest", "line", "sign", F.explode(found).alias("s"))
+    return each.select(F.col("s.key").alias("key"), "lh", "first", "edits", "less", "own", without(rest, F.col("s.start"), F.col("s.size")).alias("rest"), "line", "sign")
 
 
 def later_of(met: DataFrame) -> DataFrame:
@@ -211,13 +211,15 @@ def later_of(met: DataFrame) -> DataFrame:
 
 def centered(rows: DataFrame, ladder: Ladder) -> DataFrame:
     """(lh) of lines near the earliest line that their key indexes, or probes with greater length, if that is earlier; and of that line if it is the later one. Written."""
-    first = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct("first", "lh", "rest")).alias("c")).select(*[F.col(k).alias(f"{k}_c") for k in by], F.col("c.first").alias("first_c"), F.col("c.lh").alias("lh_c"), F.col("c.rest").alias("rest_c"))
+    held = ("first", "lh", "line", "sign")
+    first = lambda df, *by: df.groupBy(*by).agg(F.min(F.struct(*held)).alias("c")).select(*[F.col(k).alias(f"{k}_c") for k in by], *[F.col(f"c.{c}").alias(f"{c}_c") for c in held])
     index, probe = rows.where("own"), rows.where("not own")
     one = common.small(common.written(first(index, "key"), "centers"))
     two = common.small(common.written(first(probe.where("less > 0"), "key", "less").drop("less_c"), "centers"))
     same = (F.col("key") == F.col("key_c")) & (F.col("lh") != F.col("lh_c"))
-    up = probe.join(one, same).where(near(F.col("rest_c"), F.col("rest"), F.col("edits"), ladder))
-    down = index.join(two, same).where(near(F.col("rest"), F.col("rest_c"), F.col("edits"), ladder))
+    signs = F.col("sign"), F.col("sign_c")
+    up = probe.join(one, same).where(near(F.col("line_c"), F.col("line"), signs, F.col("edits"), ladder))
+    down = index.join(two, same).where(near(F.col("line"), F.col("line_c"), signs, F.col("edits"), ladder))
     return common.written(later_of(up).unionByName(later_of(down)).distinct(), "near-lines")
 
 
@@ -238,11 +240,11 @@ def in_blocks(rows: DataFrame, ladder: Ladder) -> DataFrame:
     """(lh) of the later line of each near pair of a key, compared block by block."""
     counts = common.written(rows.groupBy(F.col("key").alias("k")).agg(F.greatest(F.count_if("own"), F.count_if(~F.col("own"))).alias("n")), "key-sizes")
     dealt = rows.join(common.small(counts), F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("lh"), F.ceil(F.col("n") / BLOCK)))
-    held = F.collect_set(F.struct("first", "lh", "rest"))
+    held = F.collect_set(F.struct("first", "lh", "line", "sign"))
     index = dealt.where("own").groupBy("key", "edits", "block").agg(held.alias("xs")).select("key", "edits", "xs")
     probe = dealt.where("not own").groupBy(F.col("key").alias("k"), "block").agg(held.alias("ys")).select("k", "ys")
     met = index.join(probe, F.col("key") == F.col("k"))
-    lies = lambda x, y: (x["lh"] != y["lh"]) & near(x["rest"], y["rest"], F.col("edits"), ladder)
+    lies = lambda x, y: (x["lh"] != y["lh"]) & near(x["line"], y["line"], (x["sign"], y["sign"]), F.col("edits"), ladder)
     when = lambda x: F.struct(x["first"], x["lh"])
     late = F.concat(
         F.filter("ys", lambda y: F.exists("xs", lambda x: (when(x) < when(y)) & lies(x, y))),
@@ -259,22 +261,22 @@ def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
     pairs, late = [common.written(cool_pairs(keys, hot), "line-pairs")], []
     if hot.limit(1).count():
         warm = common.written(keys.join(common.small(hot), F.col("key") == F.col("hot"), "left_semi").select(F.col("lh").alias("w")).distinct(), "hot-lines")
-        each = texts_of(docs, warm, least).join(lines.select("lh", "first"), "lh")
-        each = each.select("lh", "first", "line", F.explode(F.concat(line_spots(line, size, ladder, True), line_spots(line, size, ladder, False))).alias("s"))
+        each = texts_of(docs, warm, least).join(lines.select("lh", "first"), "lh").withColumn("sign", signature(line))
+        each = each.select("lh", "first", "line", "sign", F.explode(F.concat(line_spots(line, size, ladder, True), line_spots(line, size, ladder, False))).alias("s"))
         rows = each.join(common.small(hot), F.col("s.key") == F.col("hot"), "left_semi")
-        rows = rows.select("s.key", "lh", "first", "s.edits", "s.less", "s.own", without(line, F.col("s.start"), F.col("s.size")).alias("rest"))
+        rows = rows.select("s.key", "lh", "first", "s.edits", "s.less", "s.own", without(line, F.col("s.start"), F.col("s.size")).alias("rest"), "line", "sign")
+        rows = common.written(rows, "hot-segment-rows")
         for _ in range(LEVELS):
-            rows = common.written(finer(rows, ladder), "finer-segments")
+            late.append(centered(rows, ladder))
+            rows = common.written(finer(undecided(rows, late[-1]), ladder), "finer-segments")
             hot = hot_keys(rows)
             pairs.append(common.written(cool_pairs(rows, hot), "line-pairs"))
-            rows = rows.join(common.small(hot), F.col("key") == F.col("hot"), "left_semi")
             if not hot.limit(1).count():
                 break
-            late.append(centered(rows, ladder))
-            rows = common.written(undecided(rows, late[-1]), "finer-segments")
+            rows = common.written(rows.join(common.small(hot), F.col("key") == F.col("hot"), "left_semi"), "hot-segment-rows")
         else:
-            if rows.limit(1).count():
-                late.append(common.written(in_blocks(rows, ladder), "near-lines"))
+            late.append(centered(rows, ladder))
+            late.append(common.written(in_blocks(undecided(rows, late[-1]), ladder), "near-lines"))
     met = reduce(DataFrame.unionByName, pairs).distinct()
     wanted = common.written(met.select(F.explode(F.array("a", "b")).alias("w")).distinct(), "wanted-lines")
     texts = texts_of(docs, wanted, least).join(lines.select("lh", "first"), "lh")
@@ -284,8 +286,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
     longer = F.length("line_c") - F.length("line")
     both = met.join(a, "a").join(b, "b").where((longer > 0) | (longer == 0) & (F.col("a") < F.col("b")))
     edits = allowed(F.length("line"), ladder)
-    alike = F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_c"))) <= 2 * edits
-    late.append(later_of(both.where(alike & near(line, F.col("line_c"), edits, ladder))))
+    late.append(later_of(both.where(near(line, F.col("line_c"), (F.col("sign"), F.col("sign_c")), edits, ladder))))
     return common.written(reduce(DataFrame.unionByName, late).distinct(), "near-lines")
 
 
