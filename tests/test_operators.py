@@ -84,3 +84,17 @@ def test_config_and_helpers(spark):
     assert filters.station_box(0, 0, 100) is None and filters.clamp_box((0, 0, 1, 1), (5, 5, 6, 6)) == (5, 5, 6, 6)
     assert normalise.parse_ranges("a-f,zz-1,9-1") == [(10, 15)]
     assert spark.range(1).select(F.size(geo.tiles(0.0, 0.0, 500.0, 250.0)).alias("n")).first().n > 4
+
+
+def test_shared_dedup_key_fires_once(spark):
+    rows = spark.createDataFrame([("a", 1, 1, True), ("b", 2, 2, True)], "subject string, t long, ord long, level boolean").withColumn("discrete", F.lit(False))
+    fired = lambda **more: sorted((r.subject, r.t, r.action) for r in alerts.fire(rows, alerts.Rule("r", ("track",), (), **more)).collect())
+    assert fired() == [("a", 1, "fire"), ("b", 2, "fire")]
+    assert fired(dedup_key="group") == [("group", 1, "fire")]
+
+
+def test_subscription_without_geometry(spark):
+    kinds = ["feature", "track", "event", "alert", "source_status", "packet", None]
+    rows = spark.createDataFrame([(k, "ais", "vessel", None) for k in kinds], "kind string, source string, track_type string, vertices array<array<double>>")
+    for box in (None, (0.0, 0.0, 1.0, 1.0)):
+        assert [r.kind for r in rows.where(filters.Subscription(bbox=box).predicate()).collect()] == kinds[1:]

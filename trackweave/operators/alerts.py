@@ -157,7 +157,9 @@ def edges(levels: DataFrame) -> DataFrame:
 def fire(levels: DataFrame, rule: Rule, gate: Column | None = None) -> DataFrame:
     """(subject, t, ord, action): fired and resolved alerts in order. gate (of t): whether schedule and quiet hours let an alert fire.
 
-    A level is remembered even where its alert was held back, so a held-back edge never fires later."""
+    A level is remembered even where its alert was held back, so a held-back edge never fires later. Subjects of a rule
+    with a dedup_key are one group with one state, and stand under that key in the result; the group is folded in one task."""
+    levels = levels if rule.dedup_key is None else levels.withColumn("subject", F.lit(rule.dedup_key))
     item = F.struct("t", "ord", "level", "discrete", (F.lit(True) if gate is None else gate).alias("gate"))
     grouped = edges(levels).groupBy("subject").agg(F.array_sort(F.collect_list(item)).alias("ticks"))
     start = F.expr("named_struct('open', false, 'last', cast(null as bigint), 'out', cast(array() as array<struct<t:bigint,ord:bigint,action:string>>))")

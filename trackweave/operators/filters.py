@@ -98,7 +98,7 @@ class Display:
 
 @dataclass(frozen=True)
 class Subscription:
-    """What a client is sent. Columns: kind, source, track_type, vertices (array of [lon, lat]; null without geometry)."""
+    """What a client is sent. Columns: kind, source, track_type, vertices (array of [lon, lat]; null without geometry: such features never pass, such tracks and events always do). Other kinds pass."""
 
     bbox: tuple[float, float, float, float] | None = None
     sources: tuple[str, ...] | None = None
@@ -111,9 +111,9 @@ class Subscription:
         inside = F.lit(True) if self.bbox is None else F.exists(shape, lambda p: geo.in_bbox(p[0], p[1], *self.bbox))
         member = lambda c, wanted: F.lit(True) if wanted is None else yes(F.col(c).isin(*wanted)) if wanted else F.lit(False)
         track = member("source", self.sources) & member("track_type", self.track_types) & F.coalesce(inside, F.lit(True))
-        feature = member("source", self.sources) & (F.lit(True) if self.bbox is None else F.coalesce(inside, F.lit(False)))
+        feature = member("source", self.sources) & shape.isNotNull() & F.coalesce(inside, F.lit(False))
         event = F.lit(self.events) & F.coalesce(inside, F.lit(True))
-        return F.when(kind == "source_status", F.lit(True)).when(kind == "alert", F.lit(self.alerts)).when(kind == "event", event).when(kind == "track", track).when(kind == "feature", feature).otherwise(F.lit(False))
+        return F.when(kind == "source_status", F.lit(True)).when(kind == "alert", F.lit(self.alerts)).when(kind == "event", event).when(kind == "track", track).when(kind == "feature", feature).otherwise(F.lit(True))
 
 
 def station_box(lon: float, lat: float, radius_nm: float) -> tuple[float, float, float, float] | None:
