@@ -62,36 +62,36 @@ def allowed(length: Column, ladder: Ladder) -> Column:
     return reduce(lambda held, step: F.when(length >= step[0], step[1]).otherwise(held), ladder, F.lit(0))
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of each of edits + 1 segments of a line of this length, as even as can be, the shorter first."""
-    k, out, start = edits + 1, [], F.lit(0)
-    for i in range(k):
-        size = F.call_function("div", length + i, F.lit(k)).cast("int")
-        out.append((start, size))
-        start = start + size
-    return out
-
-
-def places(length: Column, edits: int, less: int, own: bool) -> list[tuple[int, Column, Column]]:
-    """(segment, start, length) of what a text's keys are made of: its own segments, or the substrings that may match segments of a text shorter by less."""
+def share(length: Column, edits: int) -> Column:
+    """The length of each of the edits + 1 equal segments of a line of this length; up to edits characters at its end are in none."""
+    return F.coalesce(F.call_function("div", length, F.lit(edits + 1)), F.lit(0)).cast("int")
+
+
+def places(size: Column, edits: int, less: int, own: bool) -> list[tuple[int, Column, Column]]:
+    """(segment, start, length) of what a text's keys are made of: its own segments, or the substrings that may match segments of a text shorter by less. size: that text's share."""
     shifts = lambda i: [0] if own else range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
-    return [(i, start + shift, size) for i, (start, size) in enumerate(segments(length - less, edits)) for shift in shifts(i)]
+    return [(i, (size * i if i else F.lit(0)) + shift, size) for i in range(edits + 1) for shift in shifts(i)]
+
 
+def base(length: Column) -> Column:
+    return F.shiftleft(length.cast("long"), 16)
 
-def key_of(text: Column, length: Column, edits: int, less: int, place: tuple[int, Column, Column], *salt: Column) -> Column:
+
+def key_of(text: Column, base: Column, edits: int, less: int, place: tuple[int, Column, Column], *salt: Column) -> Column:
     i, start, size = place
-    return F.xxhash64(F.lit(edits), length - less, F.lit(i), F.substring(text, start + 1, size), *salt)
+    # one number for the indexed length, edits and segment
+    return F.xxhash64(base + F.lit((edits << 8) + i - (less << 16)).cast("long"), F.substring(text, start + 1, size), *salt)
 
 
 def spots(text: Column, length: Column, edits: int, less: int, own: bool, *salt: Column) -> Column:
     """The keys of a text, as structs (key, own, less, edits, start, size)."""
-    named = lambda p: (key_of(text, length, edits, less, p, *salt).alias("key"), F.lit(own).alias("own"), F.lit(less).alias("less"), F.lit(edits).alias("edits"), p[1].alias("start"), p[2].alias("size"))
-    return F.array(*[F.struct(*named(p)) for p in places(length, edits, less, own)])
+    named = lambda p: (key_of(text, base(length), edits, less, p, *salt).alias("key"), F.lit(own).alias("own"), F.lit(less).alias("less"), F.lit(edits).alias("edits"), p[1].alias("start"), p[2].alias("size"))
+    return F.array(*[F.struct(*named(p)) for p in places(share(length - less, edits), edits, less, own)])
 
 
 def line_parts(length: Column, ladder: Ladder, own: bool) -> list[tuple[Column, int, int]]:
     """(whether the line has such keys, edits, less) of all keys of a line as an index (own) or as a probe."""
-    return [(on_step(length - less, low, high), edits, less) for low, high, edits in steps(ladder) for less in ([0] if own else range(edits + 1))]
+    return [(on_step(length, low + less, high and high + less), edits, less) for low, high, edits in steps(ladder) for less in ([0] if own else range(edits + 1))]
 
 
 def line_spots(line: Column, length: Column, ladder: Ladder, own: bool) -> Column:
@@ -99,11 +99,20 @@ def line_spots(line: Column, length: Column, ladder: Ladder, own: bool) -> Colum
     return F.concat(none, *[F.when(on, spots(line, length, edits, less, own)).otherwise(none) for on, edits, less in line_parts(length, ladder, own)])
 
 
-def line_keys(line: Column, length: Column, ladder: Ladder, own: bool) -> Column:
-    """The keys of line_spots alone, as plain expressions that compile."""
+def with_keys(lines: DataFrame, ladder: Ladder) -> DataFrame:
+    """lines (line, size) with k and p: the keys of line_spots alone, as index and as probe.
+
+    Plain expressions over shares that are columns: the code of all keys of a line has to stay under the size that the JVM compiles."""
+    line, size = F.col("line"), F.col("size")
+    shares = {(edits, less): f"_share_{edits}_{less}" for _, edits, less in line_parts(size, ladder, False)}
+    held = lines.withColumns({"_base": base(size), **{name: share(size - less, edits) for (edits, less), name in shares.items()}})
     none = F.array().cast("array<bigint>")
-    keys = lambda edits, less: F.array(*[key_of(line, length, edits, less, p) for p in places(length, edits, less, own)])
-    return F.concat(none, *[F.when(on, keys(edits, less)).otherwise(none) for on, edits, less in line_parts(length, ladder, own)])
+
+    def keys(own: bool) -> Column:
+        each = lambda edits, less: F.array(*[key_of(line, F.col("_base"), edits, less, p) for p in places(F.col(shares[edits, less]), edits, less, own)])
+        return F.concat(none, *[F.when(on, each(edits, less)).otherwise(none) for on, edits, less in line_parts(size, ladder, own)])
+
+    return held.withColumns({"k": keys(True), "p": keys(False)}).drop("_base", *shares.values())
 
 
 def signature(line: Column) -> Column:
@@ -293,10 +302,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
 def removed_lines(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     """(doc_id, th, gone): the line numbers that go, of the documents that lose any; written."""
     found = occurrences(docs)
-    line, size, place = F.col("line"), F.col("size"), F.struct("doc_id", "pos")
-    lines = found.select("lh", place.alias("place"), line_keys(line, size, ladder, True).alias("k"), line_keys(line, size, ladder, False).alias("p"))
-    lines = lines.groupBy("lh").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("k").alias("k"), F.first("p").alias("p"))
-    lines = common.written(lines, "lines")
+    place = F.struct("doc_id", "pos")
+    lines = found.select("lh", place.alias("place"), "line").groupBy("lh").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("line").alias("line"))
+    lines = common.written(with_keys(lines.withColumn("size", F.length("line")), ladder).select("lh", "first", "last", "k", "p"), "lines")
     later = near_lines(docs, lines, ladder).withColumn("late", F.lit(True))
     listed = lines.join(later, "lh", "left").where("late or first != last").select(F.col("lh").alias("bad"), "first", F.coalesce("late", F.lit(False)).alias("late"))
     listed = common.written(listed, "repeated-lines")
@@ -307,9 +315,15 @@ def removed_lines(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
 
 
 def cleaned(text: Column, gone: Column) -> Column:
-    """text without the lines numbered in gone (null: all stay)."""
-    kept = lambda gone: F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    return F.when(gone.isNull(), text).otherwise(kept(gone))
+    """text without the lines numbered in gone (null: all stay): the runs of lines between those that go, in one pass however many go."""
+
+    def kept(s: Column) -> Column:
+        run = lambda end, i: F.slice(s["lines"], F.element_at(s["ends"], i + 1) + 2, end - F.element_at(s["ends"], i + 1) - 1)
+        return F.array_join(F.flatten(F.transform(F.slice(s["ends"], F.lit(2), F.size(s["ends"]) - 1), run)), "\n")
+
+    lines = F.split(text, "\n")
+    ends = common.let(lines, lambda held: F.struct(held.alias("lines"), F.concat(F.array(F.lit(-1)), F.array_sort(gone), F.array(F.size(held))).alias("ends")))
+    return F.when(gone.isNull(), text).otherwise(common.let(ends, kept))
 
 
 def line_dedup(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
