@@ -60,6 +60,32 @@ def test_conditions(spark):
     assert levels("watchlist", False) == [(0, True), (1, True), (2, True)]
 
 
+def test_counts_and_changes_see_qualifying_ticks_only(spark):
+    c, context = alerts.Condition, alerts.Context(station=(0.0, 0.0, 0.0))
+    box = alerts.Fence(rings=(((-0.1, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)),))
+    level = lambda df, rule: [(r.ord, r.level) for r in alerts.evaluate(df, rule, context).orderBy("ord").collect()]
+
+    # only ticks on which the other condition holds are counted
+    df = ticks(spark, [(1.0, 0.0, 0.0, None, None)] * 2 + [(7.0, 0.0, 0.0, None, None)] * 2)
+    rule = alerts.Rule("r", ("track",), (c("x", "equals", 7.0), c("id", "count_within_window", threshold=2, window_us=60)))
+    assert level(df, rule) == [(0, False), (1, False), (2, False), (3, True)]
+
+    # ticks without a point are not evaluable and leave no count; of equal times only the earlier ord counts
+    df = ticks(spark, [(1.0, None, None, None, None)] * 2 + [(1.0, 0.0, 0.0, None, None)] * 2).withColumn("t", F.lit(5).cast("long"))
+    rule = alerts.Rule("r", ("track",), (c("geometry", "entered_geofence"), c("id", "count_within_window", threshold=2, window_us=60)), fence=box)
+    assert level(df, rule) == [(2, False), (3, True)]
+
+    # a count leaves its window
+    df = ticks(spark, [(1.0, 0.0, 0.0, None, None)] * 3).withColumn("t", F.col("ord") * 100)
+    rule = alerts.Rule("r", ("track",), (c("id", "count_within_window", threshold=2, window_us=100),))
+    assert level(df, rule) == [(0, False), (1, True), (2, True)]
+
+    # the last evaluable value is what a change is told from
+    df = ticks(spark, [(5.0, 0.0, 0.0, None, None), (7.0, None, None, None, None), (7.0, 0.0, 0.0, None, None)])
+    rule = alerts.Rule("r", ("track",), (c("x", "changed_to", 7.0), c("geometry", "entered_geofence")), fence=box)
+    assert level(df, rule) == [(0, False), (2, True)]
+
+
 def test_areas(spark):
     ring = lambda x, y, d: F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in ((x, y), (x + d, y), (x + d, y + d), (x, y + d))])
     row = spark.range(1).select(

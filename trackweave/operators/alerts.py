@@ -100,7 +100,7 @@ def stateless(c: Condition) -> Column:
 
 
 def contextual(c: Condition, rule: Rule, ctx: Context) -> tuple[Column, Column]:
-    """(level, evaluable). The point of a tick is lon, lat and altitude_m; areas are in rings."""
+    """(level, evaluable), without count_within_window. The point of a tick is lon, lat and altitude_m; areas are in rings."""
     by = Window.partitionBy("subject").orderBy("t", "ord")
     lon, lat, alt, fence = F.col("lon"), F.col("lat"), F.col("altitude_m"), rule.fence
     point = lon.isNotNull() & lat.isNotNull()
@@ -117,10 +117,6 @@ def contextual(c: Condition, rule: Rule, ctx: Context) -> tuple[Column, Column]:
     if c.operator == "culmination_reached":
         due = F.unix_micros(F.try_to_timestamp(F.col(c.field)))
         return _yes(F.col("t") >= due), due.isNotNull()
-    if c.operator == "count_within_window":
-        hit = (F.col(c.field) == c.value if c.value is not None else F.col(c.field).isNotNull()).cast("int")
-        frame = Window.partitionBy("subject").orderBy("t").rangeBetween(-c.window_us, 0)
-        return F.coalesce(F.sum(hit).over(frame), F.lit(0)) >= F.lit(c.threshold), F.lit(True)
     if c.operator == "watchlist":
         listed = F.col("subject").isin(*ctx.watchlist) if ctx.watchlist else F.lit(False)
         return _yes(listed) == F.lit(True if c.value is None else bool(c.value)), F.lit(True)
@@ -138,13 +134,29 @@ def contextual(c: Condition, rule: Rule, ctx: Context) -> tuple[Column, Column]:
     raise ValueError(c.operator)
 
 
+def counted(c: Condition) -> Column:
+    """count_within_window over evaluable ticks with _level, the other conditions' level: the ticks up to this one on which they hold."""
+    holds = F.col("_level").cast("int")
+    near = F.sum(holds).over(Window.partitionBy("subject").orderBy("t").rangeBetween(-(c.window_us or 0), 0))
+    later = F.sum(holds).over(Window.partitionBy("subject", "t").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
+    return near - F.coalesce(later, F.lit(0)) >= F.lit(c.threshold or 0)
+
+
 def evaluate(ticks: DataFrame, rule: Rule, ctx: Context = Context()) -> DataFrame:
-    """subject, t, ord, level and discrete of the evaluable ticks of the rule's subject types."""
+    """subject, t, ord, level and discrete of the evaluable ticks of the rule's subject types.
+
+    Ticks that are not evaluable leave no trace: neither the last value of changed_to and changed_from
+    nor the counts of count_within_window see them."""
     out = ticks.where(F.col("subject_type").isin(*rule.subject_types)) if rule.enabled else ticks.where(F.lit(False))
-    leaves = [(stateless(c), F.lit(True)) if c.operator in STATELESS else contextual(c, rule, ctx) for c in rule.conditions]
+    counts = [c for c in rule.conditions if c.operator == "count_within_window"]
+    rest = [c for c in rule.conditions if c.operator != "count_within_window"]
+    leaves = [(stateless(c), F.lit(True)) if c.operator in STATELESS else contextual(c, rule, ctx) for c in rest]
     level, fit = reduce(and_, [x for x, _ in leaves], F.lit(True)), reduce(and_, [x for _, x in leaves], F.lit(True))
     discrete = F.lit(any(c.operator in DISCRETE for c in rule.conditions))
-    return out.withColumns({"_level": level, "_fit": fit}).where("_fit").select("subject", "t", "ord", F.col("_level").alias("level"), discrete.alias("discrete"))
+    out = out.where(fit).withColumn("_level", level)
+    if counts:
+        out = out.withColumn("_level", F.col("_level") & reduce(and_, [counted(c) for c in counts]))
+    return out.select("subject", "t", "ord", F.col("_level").alias("level"), discrete.alias("discrete"))
 
 
 def edges(levels: DataFrame) -> DataFrame:

@@ -377,7 +377,8 @@ def rule_changes(spark, sf_dir):
 
 @query
 def rule_counts(spark, sf_dir):
-    rule = alerts.Rule("r", ("aircraft",), (alerts.Condition("source", "count_within_window", "local_adsb", 3, 48 * HOUR),))
+    c = alerts.Condition
+    rule = alerts.Rule("r", ("aircraft",), (c("source", "equals", "local_adsb"), c("id", "count_within_window", threshold=3, window_us=48 * HOUR)))
     return alerts.evaluate(ticks(spark, sf_dir), rule).where("level").select("subject", "t", "ord")
 
 
@@ -473,8 +474,9 @@ def retention_oldest(spark, sf_dir):
 @query
 def config_upsert(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    table = obs.where("obs_id < 400").groupBy("identity").agg(F.min("obs_id").alias("value"))
-    changes = obs.where("obs_id >= 300 and obs_id < 900").select("identity", F.col("attr_k").cast("long").alias("value"), F.col("obs_id").alias("seq"))
+    cut = AS_OF_US - DAY_US
+    table = obs.where(F.col("observed_us") < cut).groupBy("identity").agg(F.min("obs_id").alias("value"))
+    changes = obs.where(F.col("observed_us") >= cut).select("identity", F.col("attr_k").cast("long").alias("value"), F.col("obs_id").alias("seq"))
     return history.upsert(table, changes, "identity")
 
 

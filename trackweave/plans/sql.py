@@ -160,7 +160,7 @@ told("file_key_times", "select obs_id, epoch_us(timestamp '2024-01-01' + to_days
 _t = "identity as subject, observed_us as t, ord"
 told("rule_matches", f"select {_t} from obs where track_type in ('aircraft', 'vessel') and altitude_m > 5000 and source <> 'ais' and not local_rf and label is not null")
 told("rule_changes", f"select {_t} from obs qualify source = 'local_adsb' and lag(source) over (partition by identity order by observed_us, ord) <> 'local_adsb'")
-told("rule_counts", f"select a.identity as subject, a.observed_us as t, a.ord from obs a join obs b on a.identity = b.identity and b.observed_us between a.observed_us - {48 * H} and a.observed_us and b.source = 'local_adsb' where a.track_type = 'aircraft' group by all having count(*) >= 3")
+told("rule_counts", f"select a.identity as subject, a.observed_us as t, a.ord from obs a join obs b on a.identity = b.identity and b.observed_us >= a.observed_us - {48 * H} and (b.observed_us < a.observed_us or b.observed_us = a.observed_us and b.ord <= a.ord) and b.source = 'local_adsb' where a.track_type = 'aircraft' and a.source = 'local_adsb' group by all having count(*) >= 3")
 
 
 def firing(name: str, fires: str, resolves: str, stays: str) -> None:
@@ -189,7 +189,7 @@ told("visible_at_cursor", f"select identity, obs_id, source, observed_us from ob
 told("retention_age", f"select source, count(*) as n from obs where observed_us < {T - 10 * D} group by source")
 told("retention_downsample", f"select obs_id, identity from obs where observed_us >= {T - 5 * D} union all select min(obs_id), identity from obs where observed_us < {T - 5 * D} group by identity, observed_us // {48 * H}")
 told("retention_oldest", "select obs_id from obs where obs_id not in (select obs_id from obs order by observed_us, obs_id limit 300)")
-told("config_upsert", "select identity, value from c union all select identity, value from b where identity not in (select identity from c)", "b as (select identity, min(obs_id) as value from obs where obs_id < 400 group by identity)", "c as (select identity, cast(first(attr_k order by obs_id desc) as bigint) as value from obs where obs_id >= 300 and obs_id < 900 group by identity)")
+told("config_upsert", "select identity, value from c union all select identity, value from b where identity not in (select identity from c)", f"b as (select identity, min(obs_id) as value from obs where observed_us < {AS_OF_US - DAY_US} group by identity)", f"c as (select identity, cast(first(attr_k order by obs_id desc) as bigint) as value from obs where observed_us >= {AS_OF_US - DAY_US} group by identity)")
 told("sequenced_changes", """select connection, record, obs_id, op, row_number() over (partition by connection order by observed_us, obs_id) as cseq from (select *, last_value(state ignore nulls) over (partition by connection, record order by observed_us, obs_id rows between unbounded preceding and 1 preceding) as before from ch)
   where case when op = 'remove' then coalesce(before, 0) = 1 else source <> 'ais' end""", "ch as (select *, case when op = 'remove' then 0 when source <> 'ais' then 1 end as state from (select track_type as connection, identity as record, obs_id, source, observed_us, case when attr_k % 5 = 0 then 'remove' else 'upsert' end as op from obs))")
 told("sequence_gaps", "select case when cseq <= before then 'duplicate' when cseq <> before + 1 then 'gap' else 'next' end as arrival, count(*) as n from (select *, max(cseq) over (partition by identity order by observed_us, obs_id rows between unbounded preceding and 1 preceding) as before from fr) group by all",
