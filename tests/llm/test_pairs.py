@@ -297,3 +297,36 @@ def test_line_dedup_with_hot_segments(spark, monkeypatch):
         monkeypatch.setattr(linededup, "BLOCK", block)
         got = linededup.line_dedup_report(docs, ladder).collect()
         assert sorted(map(tuple, got)) == brute_lines(rows, ladder)
+
+
+def test_near_lines_share_a_key(spark):
+    """An index key of the shorter of two near lines is a probe key of the longer, and with_keys agrees with line_spots."""
+    rng, ladder = random.Random(5), ((8, 1), (14, 2), (20, 3))
+    pairs = []
+    for _ in range(400):
+        a = "".join(rng.choice("abcd é") for _ in range(rng.randint(8, 30)))
+        b, edits = a, max(k for low, k in ladder if len(a) >= low)
+        for _ in range(rng.randint(0, edits)):
+            i, kind = rng.randrange(len(b)), rng.choice("ird")
+            b = b[:i] + ("" if kind == "d" else rng.choice("abcdx")) + b[i + (kind != "i"):]
+        if len(b) >= len(a):
+            pairs.append((len(pairs), a, b))
+    rows = spark.createDataFrame(pairs, "n int, a string, b string")
+    line, size = F.col("line"), F.col("size")
+
+    def keyed(name):
+        each = linededup.with_keys(rows.select("n", F.col(name).alias("line"), F.length(name).alias("size")), ladder)
+        spots = {own: F.transform(linededup.line_spots(line, size, ladder, own), lambda s: s["key"]) for own in (True, False)}
+        return each.select("n", "k", "p", (F.col("k") == spots[True]).alias("same_k"), (F.col("p") == spots[False]).alias("same_p")).collect()
+
+    short, long = {r.n: r for r in keyed("a")}, {r.n: r for r in keyed("b")}
+    assert len(pairs) > 200 and all(r.same_k and r.same_p for r in [*short.values(), *long.values()])
+    assert [n for n, _, _ in pairs if not set(short[n].k) & set(long[n].p)] == []
+
+
+def test_cleaned_texts(spark):
+    cases = [(None, [0]), ("a\nb\nc", None), ("a\nb\nc", [2, 0]), ("a\nb\nc", [0, 1, 2]), ("a\n\nb\n", [0]), ("a", [0]), ("\n", [1]), ("a\nb\nc\nd", [1, 2])]
+    rows = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(cases)], "n int, text string, gone array<int>")
+    got = [r.c for r in rows.select("n", linededup.cleaned(F.col("text"), F.col("gone")).alias("c")).orderBy("n").collect()]
+    brute = lambda t, g: t if g is None or t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
+    assert got == [brute(t, g) for t, g in cases]
