@@ -258,8 +258,8 @@ def aoi_box(spark, sf_dir):
 
 @query
 def vertex_means(spark, sf_dir):
-    rings = observations(spark, sf_dir).where("lon is not null").groupBy("identity").agg(F.array_sort(F.collect_list(F.array("lon", "lat"))).alias("ring"))
-    return rounded(rings.select("identity", geo.vertex_mean(F.col("ring")).alias("m")).select("identity", F.col("m")[0].alias("lon"), F.col("m")[1].alias("lat")))
+    lon, lat = geo.mean_of_points(F.col("lon"), F.col("lat"))
+    return rounded(observations(spark, sf_dir).where("lon is not null").groupBy("identity").agg(lon.alias("lon"), lat.alias("lat")))
 
 
 @query
