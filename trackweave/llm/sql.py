@@ -158,4 +158,33 @@ select doc_id, count(*) as n_lines, count(*) filter (not stays) as n_removed,
 from k group by doc_id
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op9_line_dedup": OP9, "op10_chat_format": OP10}
+# the CRC of the ten digits' bytes, a bit at a time
+_CRC = "xor(list_reduce([4294967295::bigint] || list_transform(string_split(conv_id::varchar, ''), lambda c: ascii(c)::bigint), lambda a, b: list_reduce([xor(a, b)] || list_transform(range(8), lambda i: i::bigint), lambda x, i: xor(x >> 1, 3988292384::bigint * (x & 1)))), 4294967295::bigint)"
+OP12 = f"""
+with own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, ''))) as n,
+    md5(length(coalesce(role, ''))::varchar || ':' || coalesce(role, '') || coalesce(text, '')) as k, length(coalesce(text, '')) as chars
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, {_CRC} % 6 as h from (select distinct conv_id from own)),
+turns as (
+  select c.conv_id, 0 as part, n, k, chars from c join own on own.conv_id = c.base where n <= h
+  union all
+  select c.conv_id, 1, n, k, chars from c join own on own.conv_id = c.conv_id where n > h),
+path as (
+  select conv_id, row_number() over w as depth, string_agg(k, '') over (w rows unbounded preceding) as node, chars
+  from turns window w as (partition by conv_id order by part, n)),
+rows as (
+  select conv_id, depth, node, chars from path union all select conv_id, 0, '', 0 from c),
+last as (select conv_id, max(depth) as depth from rows group by conv_id),
+node as (
+  select node, any_value(r.depth) as depth, min(r.conv_id) as conv_id, count(*) as n_convs, (count(*) - 1) * any_value(chars) as saved,
+    sha256(coalesce(string_agg(r.conv_id::varchar, ',' order by r.conv_id) filter (l.depth = r.depth), '')) as ends_sha256
+  from rows r join last l on l.conv_id = r.conv_id group by node),
+kids as (select left(node, 32 * (depth - 1)::int) as node, count(*) as n from node where depth > 0 group by 1),
+up as (select n.node, n.saved, kids.n is null as leaf, left(n.node, 32 * d) as above from (select *, unnest(range(depth + 1))::int as d from node) n left join kids on kids.node = n.node),
+sums as (select above as node, sum(saved) as saved_tokens, count(*) filter (leaf) as n_leaves from up group by above)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n, 0) as n_children, sums.n_leaves::bigint as n_leaves, sums.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from node n join sums on sums.node = n.node left join kids on kids.node = n.node left join node p on n.depth > 0 and p.node = left(n.node, 32 * (n.depth - 1)::int)
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op9_line_dedup": OP9, "op10_chat_format": OP10, "op12_conversation_trie": OP12}
