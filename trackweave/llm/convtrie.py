@@ -132,8 +132,8 @@ def levels(parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
 
 def rollup(parent: np.ndarray, level: np.ndarray, *sums: np.ndarray) -> None:
     """Adds to each node what its children have, level by level from below; nodes in breadth-first order."""
-    starts = np.flatnonzero(np.r_[True, level[1:] != level[:-1]]) if len(level) else np.zeros(0, np.int64)
-    for a, b in reversed(list(zip(starts, [*starts[1:], len(level)], strict=True))):
+    edges = [0, *(np.flatnonzero(np.diff(level)) + 1).tolist(), len(level)]
+    for a, b in reversed(list(zip(edges, edges[1:], strict=False))):
         inner = np.arange(a, b)[parent[a:b] >= 0]
         for total in sums:
             np.add.at(total, parent[inner], total[inner])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, convtrie, decontam, linededup, neardup, quality, secrets, sharding, tokencount, urlfilter
+from . import bpe, chat, collocation, convtrie, decontam, linededup, neardup, quality, secrets, sharding, tokencount, urlfilter
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
@@ -76,4 +80,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_collocations": op13_collocations,
 }

@@ -187,4 +187,27 @@ select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(kids
 from node n join sums on sums.node = n.node left join kids on kids.node = n.node left join node p on n.depth > 0 and p.node = left(n.node, 32 * (n.depth - 1)::int)
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op9_line_dedup": OP9, "op10_chat_format": OP10, "op12_conversation_trie": OP12}
+OP13 = r"""
+with piece as (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(p, '[^ \t]+') as ws
+  from (select lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) as p from documents)),
+spot as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from piece),
+grams as (select lang, ws[i:i + k - 1] as g from spot, (select unnest([1, 2, 3]) as k) where i + k - 1 <= len(ws)),
+f as (select lang, g, count(*) as f from grams group by all),
+n as (select lang, sum(f)::bigint as n from f where len(g) = 1 group by lang),
+cand as (select lang, g, f as a from f where len(g) > 1 and f >= 10),
+cut as (
+  select c.lang, c.g, c.a, k, x.f as l, y.f as r, (1000000::hugeint * c.a * c.a // (x.f::hugeint * y.f))::bigint as score
+  from (select *, unnest(range(1, len(g))) as k from cand) c
+  join f x on x.lang = c.lang and x.g = c.g[1:k] join f y on y.lang = c.lang and y.g = c.g[k + 1:]),
+low as (select * from cut qualify row_number() over (partition by lang, g order by score, k) = 1),
+longer as (
+  select lang, p, max(a) as a from (select lang, a, unnest([g[1:2], g[2:3]]) as p from cand where len(g) = 3) group by all),
+kept as (
+  select low.*, array_to_string(low.g, ' ') as phrase from low left join longer on longer.lang = low.lang and longer.p = low.g
+  where longer.a is null or 100 * longer.a < 50 * low.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op4_sharding": OP4, "op6_near_duplicates": OP6, "op7_decontamination": OP7, "op9_line_dedup": OP9, "op10_chat_format": OP10, "op12_conversation_trie": OP12, "op13_collocations": OP13}
