@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, collocation, convtrie, decontam, linededup, neardup, quality, secrets, sharding, tokencount, urlfilter
+from . import bpe, chat, collocation, convtrie, decontam, linededup, neardup, quality, secrets, sharding, tokencount, toxicity, urlfilter
 from .common import table
 
 
@@ -60,6 +60,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(chat.chat_format(turns), "conv_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.trie_report(table(spark, sf_dir, "conversations"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_trie": op12_conversation_trie,
     "op13_collocations": op13_collocations,
 }
