@@ -37,8 +37,8 @@ COVERED = 50
 UNIT = 1_000_000
 TOP = 2000
 #: Bytes of text of one language whose words are counted at once; words that a trie holds before it is serialised.
-TEXT_BYTES = 8 << 20
-TRIE_WORDS = 4_000_000
+TEXT_BYTES = 4 << 20
+TRIE_WORDS = 2_000_000
 #: Bits of a bitmap at most (64 MB); a smaller one has 32 for each node.
 BITS = 1 << 29
 
@@ -228,5 +228,6 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     late = F.col("s2") < F.col("s1")
     three = three.select("lang1", "phrase", "a", F.when(late, F.col("f12")).otherwise(F.col("f1")).alias("l"), F.when(late, F.col("f3")).otherwise(F.col("f23")).alias("r"), F.least("s1", "s2").alias("score"))
     best = Window.partitionBy("lang1").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
-    return ranked.join(common.small(totals), ranked["lang1"] == totals["lang"]).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    # compared as it is, the number lets each task drop what can't be among the first before rows are dealt by language
+    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return ranked.join(common.small(totals), ranked["lang1"] == totals["lang"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
