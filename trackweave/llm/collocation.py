@@ -227,7 +227,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     three = three.select("lang1", F.concat_ws(" ", "word1", "word2", "word3").alias("phrase"), "a", score("a", "f1", "f23").alias("s1"), score("a", "f12", "f3").alias("s2"), "f1", "f23", "f12", "f3")
     late = F.col("s2") < F.col("s1")
     three = three.select("lang1", "phrase", "a", F.when(late, F.col("f12")).otherwise(F.col("f1")).alias("l"), F.when(late, F.col("f3")).otherwise(F.col("f23")).alias("r"), F.least("s1", "s2").alias("score"))
-    best = Window.partitionBy("lang1").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # compared as it is, the number lets each task drop what can't be among the first before rows are dealt by language
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # first among a share of the language's phrases, then among those: the last step gets `top` rows of each share at most
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = two.unionByName(three).withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(shares)))
+    first = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang1", "share").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang1").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(common.small(totals), ranked["lang1"] == totals["lang"]).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
