@@ -2,8 +2,9 @@
 
 A rule is an AND of conditions. Each gives (level, evaluable): a tick that is not evaluable does nothing.
 Ticks are rows of subject, t (microseconds), ord, subject_type and the fields that conditions name. A null
-field counts as missing. Windows run per subject; the fold sees only edges, so a subject with a
-long history of unchanged ticks costs the fold nothing.
+field counts as missing. Windows run per subject, and anew after each removal of it. Firing is a greedy
+gate over the edges of a level, since an alert is open exactly from an edge that fired to the next one:
+no subject's or group's edges are collected.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from . import gates
 
 STATELESS = ("equals", "not_equals", "in", "not_in", "greater_than", "less_than", "exists", "not_exists", "classification_basis", "local_rf", "source_stale", "source_offline")
 CONTEXTUAL = ("changed_to", "changed_from", "entered_geofence", "exited_geofence", "geofence_intersects", "became_active", "culmination_reached", "count_within_window", "distance_below", "distance_above", "elevation_crossed", "watchlist")
@@ -99,9 +101,9 @@ def stateless(c: Condition) -> Column:
     }[c.operator]()
 
 
-def contextual(c: Condition, rule: Rule, ctx: Context) -> tuple[Column, Column]:
+def contextual(c: Condition, rule: Rule, ctx: Context, keys: tuple[str, ...] = ("subject",)) -> tuple[Column, Column]:
     """(level, evaluable), without count_within_window. The point of a tick is lon, lat and altitude_m; areas are in rings."""
-    by = Window.partitionBy("subject").orderBy("t", "ord")
+    by = Window.partitionBy(*keys).orderBy("t", "ord")
     lon, lat, alt, fence = F.col("lon"), F.col("lat"), F.col("altitude_m"), rule.fence
     point = lon.isNotNull() & lat.isNotNull()
     if c.operator in DISCRETE:
@@ -134,61 +136,101 @@ def contextual(c: Condition, rule: Rule, ctx: Context) -> tuple[Column, Column]:
     raise ValueError(c.operator)
 
 
-def counted(c: Condition) -> Column:
+def counted(c: Condition, keys: tuple[str, ...] = ("subject",)) -> Column:
     """count_within_window over evaluable ticks with _level, the other conditions' level: the ticks up to this one on which they hold."""
     holds = F.col("_level").cast("int")
-    near = F.sum(holds).over(Window.partitionBy("subject").orderBy("t").rangeBetween(-(c.window_us or 0), 0))
-    later = F.sum(holds).over(Window.partitionBy("subject", "t").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
+    near = F.sum(holds).over(Window.partitionBy(*keys).orderBy("t").rangeBetween(-(c.window_us or 0), 0))
+    later = F.sum(holds).over(Window.partitionBy(*keys, "t").orderBy("ord").rowsBetween(1, Window.unboundedFollowing))
     return near - F.coalesce(later, F.lit(0)) >= F.lit(c.threshold or 0)
 
 
-def evaluate(ticks: DataFrame, rule: Rule, ctx: Context = Context()) -> DataFrame:
+def evaluate(ticks: DataFrame, rule: Rule, ctx: Context = Context(), removals: DataFrame | None = None) -> DataFrame:
     """subject, t, ord, level and discrete of the evaluable ticks of the rule's subject types.
 
     Ticks that are not evaluable leave no trace: neither the last value of changed_to and changed_from
-    nor the counts of count_within_window see them."""
+    nor the counts of count_within_window see them. Ticks of subject type `event`, and rules with changed_to
+    or changed_from, are discrete. removals (subject, t, ord): where a subject went; its ticks after that
+    know nothing of those before. They are in the result, with `removed`, and `epoch` numbers the lives."""
     out = ticks.where(F.col("subject_type").isin(*rule.subject_types)) if rule.enabled else ticks.where(F.lit(False))
+    keys: tuple[str, ...] = ("subject",)
+    gone = F.lit(False)
+    if removals is not None:
+        gone, keys = F.col("removed"), ("subject", "epoch")
+        out = out.withColumn("removed", F.lit(False)).unionByName(removals.select("subject", "t", "ord", F.lit(True).alias("removed")), allowMissingColumns=True)
+        before = Window.partitionBy("subject").orderBy("t", "ord").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("epoch", F.coalesce(F.sum(F.col("removed").cast("int")).over(before), F.lit(0)))
     counts = [c for c in rule.conditions if c.operator == "count_within_window"]
     rest = [c for c in rule.conditions if c.operator != "count_within_window"]
-    leaves = [(stateless(c), F.lit(True)) if c.operator in STATELESS else contextual(c, rule, ctx) for c in rest]
+    leaves = [(stateless(c), F.lit(True)) if c.operator in STATELESS else contextual(c, rule, ctx, keys) for c in rest]
     level, fit = reduce(and_, [x for x, _ in leaves], F.lit(True)), reduce(and_, [x for _, x in leaves], F.lit(True))
-    discrete = F.lit(any(c.operator in DISCRETE for c in rule.conditions))
-    out = out.where(fit).withColumn("_level", level)
+    discrete = F.coalesce(F.col("subject_type") == "event", F.lit(False)) | F.lit(any(c.operator in DISCRETE for c in rule.conditions))
+    # a removal is a life's last row, so the windows of other rows don't see it
+    out = out.where(fit | gone).withColumn("_level", level & ~gone)
     if counts:
-        out = out.withColumn("_level", F.col("_level") & reduce(and_, [counted(c) for c in counts]))
-    return out.select("subject", "t", "ord", F.col("_level").alias("level"), discrete.alias("discrete"))
-
-
-def edges(levels: DataFrame) -> DataFrame:
-    """The ticks whose level differs from the one before (at first: from false), and discrete ones that hold."""
-    by = Window.partitionBy("subject").orderBy("t", "ord")
-    before = F.coalesce(F.lag("level").over(by), F.lit(False))
-    return levels.withColumn("_flip", F.when(F.col("discrete"), F.col("level")).otherwise(F.col("level") != before)).where("_flip").drop("_flip")
-
-
-def fire(levels: DataFrame, rule: Rule, gate: Column | None = None) -> DataFrame:
+        out = out.withColumn("_level", F.col("_level") & reduce(and_, [counted(c, keys) for c in counts]))
+    more = ["removed", "epoch"] if removals is not None else []
+    return out.select("subject", "t", "ord", F.col("_level").alias("level"), discrete.alias("discrete"), *more)
+
+
+#: Of a group that many subjects share, the rows of a slice of time are ordered in one task.
+GROUP_SLICE_US = 86_400_000_000
+
+
+def neighbour(rows: DataFrame, keys: list[str], value: Column, ahead: bool = False, slice_us: int | None = None) -> DataFrame:
+    """rows with `_near`: value of the row before (or after) in order of t and ord, null at the ends.
+
+    With slice_us the order is found slice by slice: a slice's first row gets what the slices before it end with, so a key of
+    any number of rows is spread over the slices of its time."""
+    shift = F.lead if ahead else F.lag
+    if slice_us is None:
+        return rows.withColumn("_near", shift(F.struct(value.alias("v"))).over(Window.partitionBy(*keys).orderBy("t", "ord"))["v"])
+    cut = rows.withColumn("_s", F.floor(F.col("t") / slice_us))
+    inside = cut.withColumn("_in", shift(F.struct(value.alias("v"))).over(Window.partitionBy(*keys, "_s").orderBy("t", "ord")))
+    end = F.min_by if ahead else F.max_by
+    ends = cut.groupBy(*keys, "_s").agg(end(F.struct(value.alias("v")), F.struct("t", "ord")).alias("_end"))  # a row a slice
+    ends = ends.select(*[F.col(k).alias(f"_r{k}") for k in keys], F.col("_s").alias("_rs"), shift("_end").over(Window.partitionBy(*keys).orderBy("_s")).alias("_far"))
+    same = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    both = inside.join(ends, [F.col("_s") == F.col("_rs"), *same], "left")
+    return both.withColumn("_near", F.coalesce("_in", "_far")["v"]).select(*rows.columns, "_near")
+
+
+def edges(levels: DataFrame, rule: Rule, keys: list[str], slice_us: int | None = None) -> DataFrame:
+    """levels with `kind`: point (may fire, opens nothing), onset (may fire and open) or resolve; other ticks go."""
+    rows = levels if "removed" in levels.columns else levels.withColumn("removed", F.lit(False))
+    rows = neighbour(rows, keys, F.col("level"), slice_us=slice_us)
+    now, before, gone = F.col("level"), F.coalesce("_near", F.lit(False)), F.col("removed")
+    rise, fall = now & ~before, before & ~now
+    discrete = F.when(now, "point")
+    if rule.transition == "change":
+        lasting = F.when((rise | fall) & ~gone, "point")
+    elif rule.transition == "exit":
+        lasting = F.when(fall, F.when(gone, "point").otherwise("onset")).when(rise, "resolve")
+    else:
+        lasting = F.when(rise, "onset").when(fall, "resolve")
+    # a removal is an end of the level also where the ticks before it were lasting
+    return rows.withColumn("kind", F.when(F.col("discrete") & ~gone, discrete).otherwise(lasting)).where("kind is not null").drop("_near")
+
+
+def fire(levels: DataFrame, rule: Rule, gate: Column | None = None, slice_us: int = GROUP_SLICE_US) -> DataFrame:
     """(subject, t, ord, action): fired and resolved alerts in order. gate (of t): whether schedule and quiet hours let an alert fire.
 
-    A level is remembered even where its alert was held back, so a held-back edge never fires later. Subjects of a rule
-    with a dedup_key are one group with one state, and stand under that key in the result; the group is folded in one task."""
-    levels = levels if rule.dedup_key is None else levels.withColumn("subject", F.lit(rule.dedup_key))
-    item = F.struct("t", "ord", "level", "discrete", (F.lit(True) if gate is None else gate).alias("gate"))
-    grouped = edges(levels).groupBy("subject").agg(F.array_sort(F.collect_list(item)).alias("ticks"))
-    start = F.expr("named_struct('open', false, 'last', cast(null as bigint), 'out', cast(array() as array<struct<t:bigint,ord:bigint,action:string>>))")
-    rising = rule.transition != "exit"
-
-    def step(s: Column, x: Column) -> Column:
-        ready = x["gate"] & (s["last"].isNull() | (x["t"] - s["last"] >= rule.cooldown_us))
-        lasting = F.lit(rule.transition != "change") & ~x["discrete"]
-        onset = F.when(lasting, x["level"] == rising).otherwise(F.lit(True))
-        fires = onset & ready & ~s["open"]
-        resolves = ~onset & s["open"]
-        told = lambda action: F.concat(s["out"], F.array(F.struct(x["t"].alias("t"), x["ord"].cast("long").alias("ord"), F.lit(action).alias("action"))))
-        return F.struct(
-            F.when(fires, lasting).when(resolves, F.lit(False)).otherwise(s["open"]).alias("open"), F.when(fires, x["t"]).otherwise(s["last"]).alias("last"),
-            F.when(fires, told("fire")).when(resolves, told("resolve")).otherwise(s["out"]).alias("out"))
-
-    return grouped.select("subject", F.explode(F.aggregate("ticks", start, step, lambda s: s["out"])).alias("a")).select("subject", "a.*")
+    A level is remembered even where its alert was held back, so a held-back edge never fires later. A removal resolves the
+    open alert of an enter rule; under an exit rule it fires once if the level held; then the subject starts anew. Subjects of
+    a rule with a dedup_key are one group with one state, and stand under that key in the result; there a removal ends the
+    level, and the group goes on. A group's ticks are taken in slices of time. Lasting and discrete ticks don't mix in a
+    subject or group."""
+    shared = rule.dedup_key is not None
+    levels = levels.withColumn("subject", F.lit(rule.dedup_key)) if shared else levels
+    keys = ["subject", "epoch"] if "epoch" in levels.columns and not shared else ["subject"]
+    cut = slice_us if shared else None
+    found = edges(levels, rule, keys, cut)
+    following = F.struct("kind", "t", "ord")
+    found = neighbour(found, keys, following, ahead=True, slice_us=cut)
+    closes = F.when((F.col("kind") == "onset") & (F.col("_near.kind") == "resolve"), F.struct(F.col("_near.t").alias("t"), F.col("_near.ord").alias("ord")))
+    may = found.where((F.col("kind") != "resolve") & (F.lit(True) if gate is None else gate)).select(*keys, "t", F.col("ord").cast("long").alias("ord"), closes["t"].alias("end_t"), closes["ord"].cast("long").alias("end_ord"))
+    fired = gates.greedy(may, keys, "t", ["ord", "end_t", "end_ord"], F.lit(rule.cooldown_us))
+    told = F.array(F.struct("t", "ord", F.lit("fire").alias("action")), F.struct(F.col("end_t").alias("t"), F.col("end_ord").alias("ord"), F.lit("resolve").alias("action")))
+    return fired.select("subject", F.explode(told).alias("a")).select("subject", "a.*").where("t is not null")
 
 
 def preview(ticks: DataFrame, rule: Rule, ctx: Context = Context()) -> DataFrame:

@@ -1,22 +1,30 @@
 """Gates and dedupes that depend on what was let through before.
 
 Whether a greedy gate lets a row through depends on the last row that it let through, and so on all of a
-key's history. The history is cut into slices of SLICE gaps. Each slice works out in parallel what time was
-last let through at its end, for whatever time was last let through before it: a short list of steps. The
-steps of a key are chained in order, which tells each slice where it starts, and the slices then admit their
-rows in parallel. A key with a third of all rows is thus worked on in as many slices as its time span has.
+key's history. Keys of up to SLICE_ROWS rows are dealt out and sorted, and each task reads its rows in order
+once, holding a key's last admitted time. Longer histories are cut into slices of time. Each slice works out
+in parallel what time was last let through at its end, for whatever time was last let through before it: a
+short list of steps. The steps of a key are chained in order, which tells each slice where it starts, and the
+slices then admit their rows in parallel. So no task gets a key that holds a third of all rows.
 """
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a slice in gaps.
-SLICE = 256
+# the helpers below travel with the jobs that use them, so that workers need not find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Rows of a key that one task reads in order; a key with more is cut into slices of a quarter as many, if its rows lie evenly in time.
+SLICE_ROWS = 2_000_000
 #: Stands for the time of the last admitted row of a key that has none yet.
 NEVER = -(2**62)
 
@@ -45,19 +53,57 @@ def slice_steps(t: np.ndarray, gap: int, free: np.ndarray) -> tuple[np.ndarray,
     return upto[differs], last[differs]
 
 
-def greedy(rows: DataFrame, keys: list[str], at: str, order: list[str], gap_us: Column, bypass: Column | None = None) -> DataFrame:
+def greedy(rows: DataFrame, keys: list[str], at: str, order: list[str], gap_us: Column, bypass: Column | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The admitted rows, as (keys, at, order): at least gap_us after the last admitted one of the key, or bypassing, which restarts the clock.
 
-    gap_us is the same for all rows of a key. Rows with a null time are never admitted; a null gap is none."""
+    gap_us is the same for all rows of a key. Rows with a null time are never admitted; a null gap is none; null keys are a key.
+    Finding the long keys counts all keys at once, before the result is asked for."""
     gap = F.greatest(F.coalesce(gap_us, F.lit(0)), F.lit(0)).cast("long")
-    named = rows.where(F.col(at).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(at).cast("long").alias("_t"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], gap.alias("_gap"), F.coalesce(F.lit(False) if bypass is None else bypass, F.lit(False)).alias("_free"))
-    cut = named.withColumn("_slice", F.floor(F.col("_t") / (F.greatest(F.col("_gap"), F.lit(1_000_000)) * SLICE)))
-    by = [f"_k{i}" for i in range(len(keys))]
+    by, told = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    named = rows.where(F.col(at).isNotNull()).select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col(at).cast("long").alias("_t"), *[F.col(o).alias(b) for o, b in zip(order, told, strict=True)], gap.alias("_gap"), F.coalesce(F.lit(False) if bypass is None else bypass, F.lit(False)).alias("_free"))
+    sizes = named.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_t").alias("_from"), F.max("_t").alias("_to"))
+    long = sizes.where(F.col("_n") > slice_rows)
+    if long.isEmpty():
+        kept = read_in_order(named, by, told)
+    else:
+        hot = long.select(*[F.col(b).alias(f"{b}_") for b in by], "_from", F.greatest(F.lit(1.0), (F.col("_to") - F.col("_from") + 1) / (4 * F.ceil(F.col("_n") / slice_rows))).alias("_width"))
+        hot = F.broadcast(hot)  # rows / slice_rows at most
+        same = [F.col(b).eqNullSafe(F.col(f"{b}_")) for b in by]
+        cut = named.join(hot, same).withColumn("_slice", F.floor((F.col("_t") - F.col("_from")) / F.col("_width"))).select(*named.columns, "_slice")
+        kept = read_in_order(named.join(hot, same, "left_anti"), by, told).unionByName(in_slices(cut, by, told))
+    return kept.select(*[F.col(b).alias(k) for k, b in zip(keys, by, strict=True)], F.col("_t").alias(at), *[F.col(b).alias(o) for o, b in zip(order, told, strict=True)])
+
+
+def read_in_order(named: DataFrame, by: list[str], told: list[str]) -> DataFrame:
+    """The admitted rows of keys that go whole to a task, which holds one time of one key."""
+    kinds = {f.name: f.dataType.simpleString() for f in named.schema.fields}
+    out = [*by, "_t", *told]
+
+    def admit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            taken = []
+            columns = [batch.column(c).to_pylist() for c in range(len(by))] or [[0] * batch.num_rows]
+            times, gaps, frees = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_t", "_gap", "_free"))
+            for i, (k, t, gap, free) in enumerate(zip(zip(*columns, strict=True), times, gaps, frees, strict=True)):
+                if k != key:
+                    key, last = k, None
+                if last is None or free or t - last >= gap:
+                    taken.append(i)
+                    last = t
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)).take(pa.array(taken, pa.int64())) for c in out], names=out)
+
+    dealt = named.repartition(*by) if by else named.coalesce(1)
+    return dealt.sortWithinPartitions(*by, "_t", *told).mapInArrow(admit, ", ".join(f"{c} {kinds[c]}" for c in out))
+
+
+def in_slices(cut: DataFrame, by: list[str], told: list[str]) -> DataFrame:
+    """The admitted rows of keys that are cut by _slice."""
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
-    head = ", ".join(f"{k} {kinds[k]}" for k in by)
+    head = "".join(f"{k} {kinds[k]}, " for k in by)
 
     def sorted_times(table: pa.Table) -> tuple[pa.Table, np.ndarray, int, np.ndarray]:
-        table = table.sort_by([("_t", "ascending"), *[(f"_o{i}", "ascending") for i in range(len(order))]])
+        table = table.sort_by([("_t", "ascending"), *[(c, "ascending") for c in told]])
         return table, table.column("_t").to_numpy(), table.column("_gap")[0].as_py(), table.column("_free").to_numpy()
 
     def steps(table: pa.Table) -> pa.Table:
@@ -67,7 +113,7 @@ def greedy(rows: DataFrame, keys: list[str], at: str, order: list[str], gap_us:
         return pa.table({**{c: table.column(c).slice(0, 1) for c in (*by, "_slice")}, **lists})
 
     def chain(slices: pd.DataFrame) -> pd.DataFrame:
-        found, last = [], NEVER
+        slices, found, last = slices.sort_values("_slice"), [], NEVER
         for upto, end in zip(slices["upto"], slices["last"], strict=True):
             found.append(last)
             k = int(np.searchsorted(upto, last))
@@ -82,13 +128,12 @@ def greedy(rows: DataFrame, keys: list[str], at: str, order: list[str], gap_us:
         while row < len(t):
             taken.append(row)
             row = int(following[row])
-        return left.take(pa.array(taken, pa.int64())).select([*by, "_t", *[f"_o{i}" for i in range(len(order))]])
+        return left.take(pa.array(taken, pa.int64())).select([*by, "_t", *told])
 
-    found = cut.groupBy(*by, "_slice").applyInArrow(steps, f"{head}, _slice long, upto array<long>, last array<long>")
-    entries = found.groupBy(*by).applyInPandas(lambda pdf: chain(pdf.sort_values("_slice")), f"{head}, _slice long, _entry long")
-    out = ", ".join(f"{c} {kinds[c]}" for c in (*by, "_t", *[f"_o{i}" for i in range(len(order))]))
-    kept = cut.groupBy(*by, "_slice").cogroup(entries.groupBy(*by, "_slice")).applyInArrow(admit, out)
-    return kept.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_t").alias(at), *[F.col(f"_o{i}").alias(o) for i, o in enumerate(order)])
+    found = cut.groupBy(*by, "_slice").applyInArrow(steps, f"{head}_slice long, upto array<long>, last array<long>")
+    entries = found.groupBy(*by).applyInPandas(chain, f"{head}_slice long, _entry long")
+    out = ", ".join(f"{c} {kinds[c]}" for c in (*by, "_t", *told))
+    return cut.groupBy(*by, "_slice").cogroup(entries.groupBy(*by, "_slice")).applyInArrow(admit, out)
 
 
 def onset(rows: DataFrame, keys: list[str], order: list[str], level: Column) -> DataFrame:

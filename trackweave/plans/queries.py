@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -403,6 +404,39 @@ def firing_change(spark, sf_dir):
     return _firing(spark, sf_dir, "change")
 
 
+def _watched_rule(transition, **more):
+    c = alerts.Condition
+    return alerts.Rule("r", ("aircraft", "vessel"), (c("speed_mps", "greater_than", 80.0), c("altitude_m", "less_than", 30_000.0)), transition, cooldown_us=30 * HOUR, **more)
+
+
+@query
+def removal_edges(spark, sf_dir):
+    """Subjects are removed where aprs_is last heard of them; their alerts resolve, or fire under an exit rule."""
+    all_ticks = ticks(spark, sf_dir)
+    removals = all_ticks.where("source = 'aprs_is'").select("subject", "t", "ord")
+    out = []
+    for transition in ("enter", "exit", "change"):
+        rule = _watched_rule(transition)
+        found = alerts.fire(alerts.evaluate(all_ticks.where("source <> 'aprs_is'"), rule, removals=removals), rule)
+        out.append(found.withColumn("transition", F.lit(transition)))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query
+def grouped_firing(spark, sf_dir):
+    """All subjects of a rule as one group."""
+    rule = _watched_rule("enter", dedup_key="group")
+    return alerts.fire(alerts.evaluate(ticks(spark, sf_dir), rule), rule)
+
+
+@query
+def event_firing(spark, sf_dir):
+    """Event records fire at each tick that holds, a cooldown apart at least, and open nothing."""
+    rule = alerts.Rule("r", ("event",), (alerts.Condition("speed_mps", "greater_than", 80.0),), cooldown_us=40 * HOUR)
+    events = ticks(spark, sf_dir).withColumn("subject_type", F.when(F.col("emergency") | (F.col("source") == "ais"), "event").otherwise("track"))
+    return alerts.fire(alerts.evaluate(events, rule), rule)
+
+
 @query
 def fence_alerts(spark, sf_dir):
     rule = alerts.Rule("r", ("aircraft", "vessel", "aprs_station"), (alerts.Condition("", "entered_geofence"), alerts.Condition("", "watchlist", False)), fence=FENCE)

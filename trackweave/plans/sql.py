@@ -177,6 +177,32 @@ def firing(name: str, fires: str, resolves: str, stays: str) -> None:
 firing("firing_enter", "e.level", "not e.level", "true")
 firing("firing_exit", "not e.level", "e.level", "true")
 firing("firing_change", "true", "false", "false")
+_watched_level = "coalesce(speed_mps > 80 and altitude_m < 30000, false)"
+
+
+def fold(transition: str, keys: str, source: str) -> tuple[str, ...]:
+    """Tables that fold ticks one by one: level, open alert and last firing; a removal resolves or fires and forgets the subject."""
+    n, on = f"f_{transition}", " and ".join(f"e.{k} = f.{k}" for k in keys.split(", "))
+    fires, resolves = {"enter": ("e.level and not f.level", "f.level and not e.level"), "exit": ("f.level and not e.level", "e.level and not f.level"), "change": ("e.level <> f.level and not e.gone", "false")}[transition]
+    fire = f"(({fires}) and not f.open and (f.last is null or e.t - f.last >= {30 * H}))"
+    res = f"(({resolves}) and f.open)" if transition != "exit" else f"(({resolves}) and f.open and not e.gone)"
+    stays = "not e.gone" if transition != "change" else "false"
+    return (f"e_{transition} as (select *, row_number() over (partition by {keys} order by t, ord) as rn from {source})",
+        f"""{n} as (select distinct {keys}, cast(0 as bigint) as rn, cast(null as bigint) as t, cast(null as bigint) as ord, false as level, false as open, cast(null as bigint) as last, cast(null as varchar) as action from e_{transition} union all
+  select {', '.join('e.' + k for k in keys.split(', '))}, e.rn, e.t, e.ord, e.level, case when e.gone and e.forgets then false when {fire} then {stays} when {res} then false else f.open end, case when e.gone and e.forgets then null when {fire} then e.t else f.last end, case when {fire} then 'fire' when {res} then 'resolve' end
+  from {n} f join e_{transition} e on {on} and e.rn = f.rn + 1)""")
+
+
+told("removal_edges", " union all ".join(f"select subject, t, ord, action, '{x}' as transition from f_{x} where action is not null" for x in ("enter", "exit", "change")),
+    f"k as (select {_t}, source <> 'aprs_is' and {_watched_level} as level, source = 'aprs_is' as gone, true as forgets from obs where track_type in ('aircraft', 'vessel') or source = 'aprs_is')",
+    *[table for x in ("enter", "exit", "change") for table in fold(x, "subject", "k")], recursive=True)
+told("grouped_firing", "select subject, t, ord, action from f_enter where action is not null",
+    f"k as (select 'group' as subject, t, ord, level, false as gone, false as forgets from (select {_t}, {_watched_level} as level from obs where track_type in ('aircraft', 'vessel')) qualify level <> coalesce(lag(level) over (order by t, ord), false))",
+    *fold("enter", "subject", "k"), recursive=True)
+told("event_firing", "select subject, t, ord, 'fire' as action from g where admit",
+    f"k as (select {_t}, row_number() over (partition by identity order by observed_us, ord) as rn from obs where (emergency or source = 'ais') and speed_mps > 80)",
+    f"""g as (select subject, rn, t, ord, t as last, true as admit from k where rn = 1 union all
+  select k.subject, k.rn, k.t, k.ord, case when k.t - g.last >= {40 * H} then k.t else g.last end, k.t - g.last >= {40 * H} from g join k on k.subject = g.subject and k.rn = g.rn + 1)""", recursive=True)
 told("fence_alerts", f"select identity as subject, count(*) as evaluable, count(*) filter (where {_poly} and identity not in {_watched}) as inside from obs where lon is not null group by identity")
 told("distance_alerts", f"select count(*) as evaluated, case when count(*) > 0 then count(*) filter (where d < 60000 and degrees(atan2(altitude_m, d)) >= 5) end as matched from (select *, {haversine('lon', 'lat', LON, LAT)} as d from obs where track_type = 'aircraft' and lon is not null and altitude_m is not null qualify row_number() over (partition by identity order by observed_us desc, ord desc) = 1)")
 told("channel_settlement", """select obs_id as alert_id, channel, case channel when 'dashboard' then 'delivered' when 'email' then case when s >= 3 then 'delivered' else 'suppressed' end when 'browser' then case when s >= 2 then 'delivered' else 'suppressed' end else 'unconfigured' end as status
