@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Seconds to which a source's observation is live, and from which it is expired.
+#: Seconds to which a source's observation is live, and from which it is expired.
 WINDOWS = {
-    "local_adsb": (5.0, 60.0), "demo": (5.0, 60.0), "network_adsb": (15.0, 120.0), "demo-net": (15.0, 120.0),
+    "local_adsb": (5.0, 60.0), "network_adsb": (15.0, 120.0),
     "local_aprs": (300.0, 7200.0), "aprs_is": (300.0, 7200.0), "ais": (60.0, 1800.0),
 }
 OTHER = (15.0, 120.0)
 SKEW_S = 5.0
 DYNAMIC = ("position", "altitude_m", "speed_mps", "heading_deg", "vertical_rate_mps")
-#: A difference beyond which two sources disagree; positions by squared degrees.
+#: A difference beyond which two sources disagree; positions by squared degrees.
 TOLERANCE = {"altitude_m": 30.0, "speed_mps": 5.0, "heading_deg": 5.0, "vertical_rate_mps": 1.0}
 POSITION_TOLERANCE = 0.0005**2
 
@@ -31,7 +31,7 @@ def window_s(source: Column, which: int, windows=WINDOWS, other=OTHER) -> Column
     return out
 
 
-def age_s(observed_us: Column, as_of_us: int, unit_us: int = 1_000_000) -> Column:
+def age_s(observed_us: Column, as_of_us: int | Column, unit_us: int = 1_000_000) -> Column:
     """Age in units; up to SKEW_S ahead is 0, further ahead counts by its magnitude."""
     delta = (F.lit(as_of_us) - observed_us) / unit_us
     return F.when((delta < 0) & (delta >= -SKEW_S), F.lit(0.0)).otherwise(F.abs(delta))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, orbital
-from ..operators import alerts, filters, fusion, gates, history
+from ..operators import alerts, filters, fusion, gates, history, live
 from ..sources import normalise
 from .observations import AS_OF_US, DAY_US, STATION, UNIT_US, observations
 
@@ -54,6 +54,24 @@ def fused_snapshot(spark, sf_dir):
     return fused.withColumns(place).drop("position", "last_local_us")
 
 
+def _live(spark, sf_dir):
+    changes = live.live_changes(placed(observations(spark, sf_dir)), ["position", "altitude_m", "speed_mps"], ["label"], AS_OF_US, UNIT_US)
+    place = {"lon": F.get("position", F.lit(0)), "lat": F.get("position", F.lit(1))}
+    return changes.withColumns(place).drop("position")
+
+
+@query
+def live_changes(spark, sf_dir):
+    """Every change of the live state: each observation, each hand-over and each removal."""
+    return _live(spark, sf_dir)
+
+
+@query
+def live_state(spark, sf_dir):
+    """What is live at an instant, as the last change left it."""
+    return live.state_at(_live(spark, sf_dir), AS_OF_US - 30 * HOUR)
+
+
 @query
 def latest_per_source(spark, sf_dir):
     rows = fusion.latest(observations(spark, sf_dir), ["altitude_m", "label"], AS_OF_US)

@@ -43,6 +43,23 @@ told("fused_snapshot", f"""select identity, coalesce({best('source', 'lon')}, fi
   {best('lon', 'lon')} as lon, {best('lat', 'lon')} as lat, {best('source', 'lon')} as position_source, {best('fresh', 'lon')} as position_fresh, {_dynamic},
   {best('label', 'label', _meta)} as label, {best('source', 'label', _meta)} as label_source, {best('fresh', 'label', _meta)} as label_fresh, max(observed_us) as observed_us, max(received_us) as received_us,
   max(observed_us) + cast(max(expire) as bigint) * {U} as valid_until_us, bool_or(local_rf) as locally_received, count(*) as fused_count from contribs where fresh <> 'expired' group by identity""", LATEST, ALL)
+_had = lambda field, order: f"first({field} order by {order}) filter (where {field} is not null and alive)"
+_by, _said = "tier, o_us desc, o_source", "o_us desc, o_source"
+_won = lambda field, order=_by, name=None: f"{_had(field, order)} as {name or field}, first(o_source order by {order}) filter (where {field} is not null and alive) as {name or field}_source"
+_LIVE = (
+    f"spans as (select *, observed_us + cast({window(1)} as bigint) * {U} as expire_us from obs where observed_us <= {T})",
+    f"lost as (select distinct identity, expire_us as t from (select *, lead(observed_us) over (partition by identity, source order by observed_us, received_us, ord) as nxt from spans) where (nxt is null or nxt > expire_us) and expire_us <= {T})",
+    f"happened as (select identity, observed_us as t, 0 as kind, received_us as r, ord as o from spans union all select identity, t, 1, {2**62}, {2**62} from lost)",
+    f"""known as (select e.*, s.source as o_source, s.local_rf, s.observed_us as o_us, s.lon, s.lat, s.altitude_m, s.speed_mps, s.label, s.expire_us > e.t as alive, (e.t - s.observed_us) / {U} as age
+  from happened e join spans s on s.identity = e.identity and (s.observed_us, s.received_us, s.ord) <= (e.t, e.r, e.o)
+  qualify row_number() over (partition by e.identity, e.t, e.kind, e.o, s.source order by s.observed_us desc, s.received_us desc, s.ord desc) = 1)""",
+    f"ranked as (select *, case when local_rf then (case when age < {window(0).replace('source', 'o_source', 1)} then 0 else 2 end) when age < {window(0).replace('source', 'o_source', 1)} then 1 else 3 end as tier from known)",
+    f"""live as (select identity, t as at_us, case when kind = 0 then o end as ord, case when kind = 0 then 'upsert' when bool_or(alive) then 'handover' else 'remove' end as op,
+  coalesce(first(o_source order by {_by}) filter (where lon is not null and alive), first(o_source order by {_by}) filter (where alive)) as source, coalesce(bool_or(local_rf) filter (where alive), false) as locally_received, count(*) filter (where alive) as fused_count,
+  {_won('lon')}, {_had('lat', _by)} as lat, {_won('altitude_m')}, {_won('speed_mps')}, {_won('label', _said)} from ranked group by identity, t, kind, o)""",
+)
+told("live_changes", "select * exclude lon_source, lon_source as position_source from live", *_LIVE)
+told("live_state", f"select * exclude lon_source, lon_source as position_source from (select * from live where at_us <= {T - 30 * U} qualify row_number() over (partition by identity order by at_us desc, op = 'upsert', ord desc) = 1) where op <> 'remove'", *_LIVE)
 told("latest_per_source", "select identity, source, observed_us, received_us, ord, altitude_m, label, last_local_us from latest", LATEST)
 told("freshness_counts", "select source, fresh, tier, count(*) as n from contribs group by all", LATEST, ALL)
 _fields = ("altitude_m", "speed_mps", "heading_deg")
