@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, orbital
-from ..operators import alerts, filters, fusion, gates, history, live
+from ..operators import alerts, fences, filters, fusion, gates, history, live, ranges
 from ..sources import normalise
 from .observations import AS_OF_US, DAY_US, STATION, UNIT_US, observations
 
@@ -228,19 +228,59 @@ def watchlist_tracks(spark, sf_dir):
 
 @query
 def geofence_join(spark, sf_dir):
-    """Points against two fences by exploding the fences' bounded list, so the plan needs no join."""
-    obs = observations(spark, sf_dir).where("lon is not null")
-    lon, lat, alt = F.col("lon"), F.col("lat"), F.col("altitude_m")
-    held = F.array_compact(F.array(*[F.when(F.coalesce(f.holds(lon, lat, alt), F.lit(False)), F.lit(name)) for name, f in (("polygon", FENCE), ("circle", CIRCLE))]))
-    return obs.select("obs_id", F.explode(held).alias("fence"))
+    """Points in two fences of a table."""
+    table = spark.createDataFrame([("polygon", None, None, FENCE.rings, None, None), ("circle", CIRCLE.center, CIRCLE.radius_m, None, CIRCLE.low_m, CIRCLE.high_m)], fences.SCHEMA)
+    return fences.inside(observations(spark, sf_dir), table, ["obs_id"]).select("obs_id", F.col("fence_id").alias("fence"))
+
+
+def supplier_fences(spark, sf_dir):
+    """A fence a supplier: circles, squares on their tip, and one in ten without a shape."""
+    key = F.col("s_suppkey")
+    lon, lat, reach = -95.0 + key * 37 % 1009 * 0.001 + 0.00017, 40.0 + key * 53 % 701 * 0.001 + 0.00023, 0.002 + key % 11 * 0.003
+    tips = F.array(*[F.array(lon + dx * reach, lat + dy * reach) for dx, dy in ((1, 0), (0, 1), (-1, 0), (0, -1))])
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return suppliers.select(
+        F.concat(F.lit("s"), key.cast("string")).alias("fence_id"), F.when(key % 2 == 0, F.array(lon, lat)).alias("center"), (reach * 100_000.0).alias("radius_m"),
+        F.when((key % 2 == 1) & (key % 10 != 5), F.array(tips)).alias("rings"), F.when(key % 3 == 0, 2000.0).alias("low_m"), F.when(key % 4 == 0, 20_000.0).alias("high_m"))
+
+
+@query
+def fence_table(spark, sf_dir):
+    """Points in the fences of a large table."""
+    return fences.inside(observations(spark, sf_dir), supplier_fences(spark, sf_dir), ["obs_id"])
+
+
+@query
+def area_fences(spark, sf_dir):
+    """Areas (a square a customer, corners on a raster of its own) that meet the fences of a large table."""
+    key = F.col("c_custkey")
+    lon, lat, side = -95.0 + key * 91 % 1013 * 0.001 + 0.00037, 40.0 + key * 67 % 709 * 0.001 + 0.00041, 0.0011 + key % 5 * 0.002
+    ring = F.array(*[F.array(lon + dx * side, lat + dy * side) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))])
+    areas = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.array(ring).alias("rings"))
+    squares = supplier_fences(spark, sf_dir).where("center is null")
+    return fences.meeting(areas, squares, "c_custkey")
+
+
+def _addressed(spark, sf_dir):
+    obs = observations(spark, sf_dir).withColumn("address", F.lit(0xADF000) + F.col("obs_id") * 7)
+    return obs.withColumns({"hex": F.lower(F.hex("address")), "flags": (F.col("obs_id") % 4).cast("int"), "non_icao": F.col("obs_id") % 13 == 0})
 
 
 @query
 def military_blocks(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    rows = obs.withColumns({"hex": F.lower(F.hex(F.lit(0xADF000) + F.col("obs_id") * 7)), "flags": (F.col("obs_id") % 4).cast("int"), "non_icao": F.col("obs_id") % 13 == 0})
-    c = normalise.classify_military(F.col("hex"), F.col("flags"), F.col("non_icao"), normalise.parse_ranges(RANGES))
-    return rows.select("obs_id", c["basis"].alias("basis"), c["confidence"].alias("confidence")).where("basis is not null")
+    table = spark.createDataFrame(normalise.parse_ranges(RANGES), "low long, high long")
+    rows = _addressed(spark, sf_dir)
+    held = ranges.in_any(rows, "obs_id", "address", table, "low", "high").withColumn("held", F.lit(True))
+    c = normalise.classify_military(F.col("hex"), F.col("flags"), F.col("non_icao"), held=F.col("held"))
+    return rows.join(held, "obs_id", "left").select("obs_id", c["basis"].alias("basis"), c["confidence"].alias("confidence")).where("basis is not null")
+
+
+@query
+def address_blocks(spark, sf_dir):
+    """Addresses in a table of overlapping blocks, one a supplier."""
+    key = F.col("s_suppkey")
+    table = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.lit(0xADF000) + key * 97).alias("low"), (F.lit(0xADF000) + key * 97 + key % 50 * 13 - 5).alias("high"))
+    return ranges.in_ranges(_addressed(spark, sf_dir).select("obs_id", "address"), "address", table, "low", "high").select("obs_id", "s_suppkey")
 
 
 @query

@@ -26,6 +26,12 @@ def haversine(lon: str, lat: str, lon0: float, lat0: float) -> str:
     return f"({2 * R} * asin(sqrt(least(1.0, {half(f'({lat}) - ({lat0})')} + cos(radians({lat})) * cos(radians({lat0})) * {half(f'({lon}) - ({lon0})')}))))"
 
 
+def haversine_of(lon: str, lat: str, lon0: str, lat0: str) -> str:
+    """haversine() between two columns' points."""
+    half = lambda a: f"pow(sin(radians({a}) / 2), 2)"
+    return f"({2 * R} * asin(sqrt(least(1.0, {half(f'{lat} - {lat0}')} + cos(radians({lat})) * cos(radians({lat0})) * {half(f'{lon} - {lon0}')}))))"
+
+
 LATEST = f"""latest as (select * from (select *, row_number() over (partition by identity, source order by observed_us desc, received_us desc, ord desc) as rn,
   min(ord) over (partition by identity, source) as first_ord, max(case when local_rf then observed_us end) over (partition by identity, source) as last_local_us from obs where observed_us <= {T}) where rn = 1)"""
 ALL = f"""aged as (select *, ({T} - observed_us) / {U} as age from latest),
@@ -123,6 +129,14 @@ _outer = in_ring([(-94.9, 40.05), (-94.3, 40.05), (-94.3, 40.55), (-94.6, 40.65)
 _hole = in_ring([(-94.7, 40.2), (-94.5, 40.2), (-94.5, 40.4), (-94.7, 40.4)])
 _poly = f"({_outer} and not {_hole})"
 told("geofence_join", f"select obs_id, 'polygon' as fence from obs where lon is not null and {_poly} union all select obs_id, 'circle' from obs where lon is not null and {haversine('lon', 'lat', -94.7, 40.3)} <= 25000 and altitude_m between 1000 and 30000")
+_supplied = """fences as (select s_suppkey as k, -95.0::double + s_suppkey * 37 % 1009 * 0.001::double + 0.00017::double as x, 40.0::double + s_suppkey * 53 % 701 * 0.001::double + 0.00023::double as y, 0.002::double + s_suppkey % 11 * 0.003::double as reach,
+  case when s_suppkey % 3 = 0 then 2000 end as low_m, case when s_suppkey % 4 = 0 then 20000 end as high_m from supplier)"""
+told("fence_table", f"""select obs_id, 's' || k as fence_id from obs join fences on lon is not null and abs(lat - y) < 0.4 and case when k % 2 = 0 then {haversine_of('lon', 'lat', 'x', 'y')} <= reach * 100000 else k % 10 <> 5 and abs(lon - x) + abs(lat - y) <= reach end
+  and (low_m is null or altitude_m >= low_m) and (high_m is null or altitude_m <= high_m)""", _supplied)
+# a square and a square on its tip meet if the nearest point of the one lies within the other
+told("area_fences", "select c_custkey, 's' || k as fence_id from areas join fences on k % 2 = 1 and k % 10 <> 5 and abs(x - greatest(lon, least(x, lon + side))) + abs(y - greatest(lat, least(y, lat + side))) <= reach", _supplied,
+    "areas as (select c_custkey, -95.0::double + c_custkey * 91 % 1013 * 0.001::double + 0.00037::double as lon, 40.0::double + c_custkey * 67 % 709 * 0.001::double + 0.00041::double as lat, 0.0011::double + c_custkey % 5 * 0.002::double as side from customer)")
+told("address_blocks", f"select obs_id, s_suppkey from obs join supplier on {0xADF000} + obs_id * 7 between {0xADF000} + s_suppkey * 97 and {0xADF000} + s_suppkey * 97 + s_suppkey % 50 * 13 - 5")
 told("military_blocks", f"""select obs_id, case when p and b then 'both' when p then 'provider' else 'address_block' end as basis, case when p then 'medium' else 'low' end as confidence from
   (select obs_id, obs_id % 2 = 1 as p, obs_id % 13 <> 0 and ({0xADF000} + obs_id * 7 between {0xADF7C8} and {0xAFFFFF} or {0xADF000} + obs_id * 7 between {0x43C000} and {0x43CFFF}) as b from obs) where p or b""")
 told("catalog_partition", f"select distinct identity, case when identity in {_watched} then 'fast' else 'slow' end as tier from obs")

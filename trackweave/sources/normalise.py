@@ -53,25 +53,25 @@ def is_emergency(squawk: Column, emergency: Column) -> Column:
 
 
 def parse_ranges(spec: str) -> list[tuple[int, int]]:
-    """`lo-hi` blocks of hexadecimal addresses, comma-joined; malformed or reversed ones are skipped."""
+    """`lo-hi` blocks of hexadecimal addresses, comma-joined; a bare one is a block of one; malformed or reversed ones are skipped."""
     out = []
     for part in spec.split(","):
         low, dash, high = part.strip().partition("-")
         try:
-            a, b = int(low, 16), int(high if dash else "", 16)
+            a, b = int(low, 16), int(high if dash else low, 16)
         except ValueError:
             continue
-        if a <= b:
+        if 0 <= a <= b:
             out.append((a, b))
     return out
 
 
-def classify_military(hex_id: Column, db_flags: Column, non_icao: Column, ranges: list[tuple[int, int]]) -> Column:
-    """(basis, confidence) by provider flag (bit 0) and address block, null for neither. Blocks are few rule literals; a table of them would be a broadcast range join."""
+def classify_military(hex_id: Column, db_flags: Column, non_icao: Column, ranges: list[tuple[int, int]] | None = None, held: Column | None = None) -> Column:
+    """(basis, confidence) by provider flag (bit 0) and address block, null for neither. A few blocks may be given as ranges; with a table of them, held says whether one has the address (operators.ranges)."""
     provider = F.coalesce(db_flags.bitwiseAND(1) == 1, F.lit(False))
     address = F.conv(hex_id, 16, 10).cast("long")
-    block = F.lit(False)
-    for low, high in ranges:
+    block = F.lit(False) if held is None else held
+    for low, high in ranges or ():
         block = block | address.between(low, high)
     block = ~non_icao & F.coalesce(block, F.lit(False))
     made = lambda basis, confidence: F.struct(F.lit(basis).alias("basis"), F.lit(confidence).alias("confidence"))
