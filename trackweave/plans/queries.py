@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, orbital
-from ..operators import alerts, fences, filters, fusion, gates, history, live, ranges
+from ..operators import alerts, fences, filters, fusion, gates, history, live, orbits, ranges
 from ..sources import normalise
 from .observations import AS_OF_US, DAY_US, STATION, UNIT_US, observations
 
@@ -321,6 +321,30 @@ def vertex_means(spark, sf_dir):
     return rounded(observations(spark, sf_dir).where("lon is not null").groupBy("identity").agg(lon.alias("lon"), lat.alias("lat")))
 
 
+def element_sets(spark, sf_dir):
+    """Elements made from the columns of customers: near-Earth ones of all inclinations, some deep-space, some without a closed orbit."""
+    key = F.col("c_custkey")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return customers.select(
+        key.alias("norad_id"), (F.lit(AS_OF_US) - key % 30 * 3_600_000_000).alias("epoch_us"), F.when(key % 17 == 0, 2.0).otherwise(11.0 + key % 50 * 0.1).alias("mean_motion"), F.when(key % 19 == 0, 1.5).otherwise(key % 13 * 0.002).alias("eccentricity"),
+        (key * 7 % 181).cast("double").alias("inclination"), (key * 11 % 360).cast("double").alias("node"), (key * 13 % 360).cast("double").alias("perigee"), (key * 29 % 360).cast("double").alias("anomaly"), (key % 7 * 1e-5).alias("bstar"))
+
+
+#: Queries that SQL can't express; tests hold their operators to published vectors and to plain searches.
+NO_SQL = ("predicted_tracks", "pass_predictions")
+
+
+@query
+def predicted_tracks(spark, sf_dir):
+    found = orbits.predicted_tracks(element_sets(spark, sf_dir), F.lit(AS_OF_US), (*STATION, 300.0), floor_deg=0.0)
+    return found.select("norad_id", "correlation_key", "lon", "lat", "altitude_m", "azimuth_deg", "elevation_deg", "slant_range_m", "element_age_s")
+
+
+@query
+def pass_predictions(spark, sf_dir):
+    return orbits.next_passes(element_sets(spark, sf_dir), AS_OF_US, (*STATION, 300.0), window_s=21_600.0).select("norad_id", "rise_us", "culmination_us", "set_us", "peak_deg")
+
+
 @query
 def orbital_frames(spark, sf_dir):
     obs = observations(spark, sf_dir).where("lon is not null and altitude_m is not null")
