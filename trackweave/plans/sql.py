@@ -186,6 +186,13 @@ told("aprs_positions", """select obs_id, round(y, 6) as lat, round(x, 6) as lon,
 told("aprs_compressed", """select obs_id, round(lat, 5) as lat, round(lon, 5) as lon, case when flat and c * 4 between 1 and 360 then cast(c * 4 as double) end as course, case when flat then round(pow(1.08::double, s) - 1, 5) end as speed_kt, case when high then round(pow(1.002::double, c * 91 + s) * 0.3048::double, 5) end as altitude_m from
   (select *, told and (t & 24) = 16 as high, told and (t & 24) <> 16 as flat from (select obs_id, 90 - ((((obs_id % 85) * 91 + obs_id * 3 % 91) * 91 + obs_id * 5 % 91) * 91 + obs_id * 7 % 91) / 380926 as lat, ((((obs_id % 83) * 91 + obs_id * 11 % 91) * 91 + obs_id * 13 % 91) * 91 + obs_id * 17 % 91) / 190463 - 180 as lon,
   obs_id % 6 <> 0 as told, obs_id % 91 as c, obs_id % 40 as s, obs_id * 19 % 91 as t from obs)) where lat between -90 and 90 and lon between -180 and 180""")
+told("packet_tracks", f"""select obs_id, case when k = 1 then 'aprs:object:OBJ' || n % 1000 else 'aprs:station:N' || n % 10000 end as correlation_key, case when k = 1 then 'aprs_object' else 'aprs_station' end as track_type,
+  case when k <> 1 then observed_us when epoch_us(due) - observed_us > {12 * U} then epoch_us(due - interval 1 month) else epoch_us(due) end as observed_us,
+  case when k <> 2 then round(-(n % 180 + (n % 59 + n % 97 / 100) / 60), 6) end as lon, case when k <> 2 then round(n % 90 + (n % 60 + n % 100 / 100) / 60, 6) end as lat, case when k = 0 then round(n * 0.3048::double, 3) end as altitude_m,
+  case when k = 0 then round(n % 200 * (1852 / 3600), 6) end as speed_mps, case when k = 0 and n % 400 between 1 and 360 then (n % 400)::double end as heading_deg,
+  case k when 1 then case when n % 4 = 1 then 'object' else 'object,killed' end when 2 then 'status' when 3 then 'weather' when 4 then 'third_party' else '' end as tags, case when k = 3 then (n % 120)::double end as temp_f,
+  case when k = 0 then 'on the way' end as comment, case when k = 2 then 'at work' end as status, case when k = 4 then 'RELAY-1' end as relayed_by
+  from (select *, obs_id as n, obs_id % 6 as k, make_timestamp(2024, 1, obs_id % 28 + 1, obs_id % 24, obs_id % 60, 0.0) as due from obs) where k < 5""")
 told("file_key_times", "select obs_id, epoch_us(timestamp '2024-01-01' + to_days(cast(obs_id % 366 as int))) + (obs_id % 24 * 3600 + obs_id % 60 * 60 + obs_id % 59) * 1000000 + obs_id % 10 * 100000 as start_us from obs")
 
 _t = "identity as subject, observed_us as t, ord"

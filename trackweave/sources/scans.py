@@ -30,6 +30,11 @@ def ais_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("MetaData.longitude").alias("meta_longitude"), body["Sog"].alias("sog"), body["Cog"].alias("cog"), body["TrueHeading"].alias("true_heading"), body["NavigationalStatus"].alias("nav_status"), F.lit(None).cast("int").alias("ship_type"))
 
 
+def packet_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`value`: lines of a packet feed, without empty ones and the server's own, which begin with #."""
+    return spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
+
+
 def quake_files(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.schema(QUAKES).json(path, multiLine=True).select(F.explode("features").alias("f"))
     return f.select("f.id", "f.properties.type", "f.properties.mag", "f.properties.time", "f.properties.updated", "f.properties.alert", "f.geometry.coordinates")
