@@ -112,3 +112,13 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     want = live.live_changes(spark.createDataFrame(rows, KIND), ["altitude_m"], ["label"], 10**10, 1_000_000, WINDOWS, (15.0, 100.0))
     assert {r.op for r in want.select("op").distinct().collect()} == {"upsert", "handover", "remove"}
     assert sorted((tuple(r) for r in found.select(COLUMNS).collect()), key=str) == sorted((tuple(r) for r in want.collect()), key=str)
+
+
+def test_crossings(spark):
+    """The first sweep takes none, a feature is taken once, those that ended or came in later are not."""
+    features = spark.createDataFrame([("early", "s", 0, 5, None), ("due", "s", 0, 15, None), ("on the sweep", "s", 0, 20, None), ("ended", "s", 0, 12, 20), ("late", "s", 25, 15, None), ("never", "s", 0, None, None), ("elsewhere", "t", 0, 15, None), ("after", "s", 0, 31, None)], "id string, k string, seen_us long, valid_from_us long, valid_until_us long")
+    sweeps = spark.createDataFrame([("s", 10), ("s", 20), ("s", 20), ("s", 30), ("t", 15)], "k string, at_us long")
+    for width in (1, 7, 1000):
+        found = live.valid_from_crossings(features, sweeps, ["k"], width)
+        assert sorted((r.id, r.swept_us) for r in found.collect()) == [("due", 20), ("on the sweep", 20)]
+        assert found.columns == [*features.columns, "swept_us"]

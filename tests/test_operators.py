@@ -1,6 +1,7 @@
 """Scans, rules and helpers on small inputs."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,34 @@ def test_areas(spark):
     assert row.asDict() == {"cross": True, "nested": True, "apart": False, "near": True, "far": False, "wrapped": True}
 
 
+def test_segment_distance(spark):
+    """Against the nearest of many points along the segment, over the antimeridian too, and for one that is a point."""
+    import random
+
+    pick = random.Random(2)
+    rows = [((pick.uniform(-180, 180), pick.uniform(-70, 70)), pick.uniform(-3, 3), pick.uniform(-3, 3), pick.uniform(-3, 3), pick.uniform(-3, 3)) for _ in range(60)]
+    rows = [((x + 180) % 360 - 180, y, [(x + a + 180) % 360 - 180, y + b], [(x + c + 180) % 360 - 180, y + d]) for (x, y), a, b, c, d in rows]
+    rows += [(10.0, 50.0, [11.0, 50.0], [11.0, 50.0]), (179.9, 0.0, [-179.9, -1.0], [-179.9, 1.0])]
+    df = spark.createDataFrame(rows, "x double, y double, a array<double>, b array<double>")
+    along = F.transform(F.sequence(F.lit(0), F.lit(2000)), lambda i: geo.haversine_m(F.col("x"), F.col("y"), geo.unwrap_lon(F.col("a")[0], F.col("x")) * (1 - i / 2000) + geo.unwrap_lon(F.col("b")[0], F.col("x")) * i / 2000, F.col("a")[1] * (1 - i / 2000) + F.col("b")[1] * i / 2000))
+    for r in df.select(geo.segment_distance_m(F.col("x"), F.col("y"), F.col("a"), F.col("b")).alias("d"), F.array_min(along).alias("near")).collect():
+        assert r.near - 300 <= r.d <= r.near * 1.02 + 300
+
+
+def test_tiles_cover_the_disk(spark):
+    import random
+
+    pick = random.Random(5)
+    disks = spark.range(1).select(F.explode(geo.tiles(170.0, 55.0, 700.0, 250.0)).alias("d")).select("d.*").collect()
+    points = []
+    for _ in range(400):
+        bearing, far = pick.uniform(0, 2 * math.pi), 700 * math.sqrt(pick.random())
+        points.append((170.0 + far * math.sin(bearing) / 60 / math.cos(math.radians(55)), 55.0 + far * math.cos(bearing) / 60))
+    near = lambda x, y, d: math.hypot(((x - d.lon + 180) % 360 - 180) * 60 * math.cos(math.radians(55)), (y - d.lat) * 60) <= d.radius_nm
+    assert all(any(near(x, y, d) for d in disks) for x, y in points)
+    assert [tuple(r.d) for r in spark.range(1).select(F.explode(geo.tiles(1.0, 2.0, 250.0, 250.0)).alias("d")).collect()] == [(1.0, 2.0, 250.0)]
+
+
 def test_frames_round_trip(spark):
     there = orbital.geodetic_to_ecef(F.lit(48.0), F.lit(11.0), F.lit(550.0))
     back = spark.range(1).select(there.alias("p")).select(orbital.ecef_to_geodetic(F.col("p.x"), F.col("p.y"), F.col("p.z")).alias("g")).first().g

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from . import gates
 
+# fixed values: the names of the operators
 STATELESS = ("equals", "not_equals", "in", "not_in", "greater_than", "less_than", "exists", "not_exists", "classification_basis", "local_rf", "source_stale", "source_offline")
 CONTEXTUAL = ("changed_to", "changed_from", "entered_geofence", "exited_geofence", "geofence_intersects", "became_active", "culmination_reached", "count_within_window", "distance_below", "distance_above", "elevation_crossed", "watchlist")
 DISCRETE = ("changed_to", "changed_from")

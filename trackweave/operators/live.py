@@ -81,3 +81,19 @@ def state_at(changes: DataFrame, as_of_us: int) -> DataFrame:
     rest = [c for c in changes.columns if c != "identity"]
     last = changes.where(F.col("at_us") <= as_of_us).groupBy("identity").agg(F.max_by(F.struct(*rest), order).alias("c"))
     return last.select("identity", "c.*").where("op <> 'remove'")
+
+
+def valid_from_crossings(features: DataFrame, sweeps: DataFrame, keys: list[str], slice_us: int = 3_600_000_000) -> DataFrame:
+    """features with swept_us: those that a sweep finds to have become valid since the sweep before it.
+
+    features: keys, seen_us (when they came in), valid_from_us, valid_until_us (null: no end); sweeps: keys, at_us. A sweep takes
+    what became valid after the sweep before and up to itself, came in by then and has not ended; the first sweep takes none.
+    Intervals between sweeps are laid over slices of time and joined by slice."""
+    order = Window.partitionBy(*keys).orderBy("at_us")
+    spans = sweeps.select(*keys, "at_us").distinct().withColumn("_before", F.lag("at_us").over(order)).where("_before is not null")
+    cut = lambda c: F.floor(F.col(c) / slice_us)
+    spans = spans.withColumn("_slice", F.explode(F.sequence(cut("_before"), cut("at_us")))).select(*[F.col(k).alias(f"_s{k}") for k in keys], "_before", F.col("at_us").alias("swept_us"), "_slice")
+    own = features.where("valid_from_us is not null").withColumn("_own", cut("valid_from_us"))
+    same = [F.col("_own") == F.col("_slice"), *[F.col(k).eqNullSafe(F.col(f"_s{k}")) for k in keys]]
+    found = own.join(spans, same).where("valid_from_us > _before and valid_from_us <= swept_us and seen_us <= swept_us and (valid_until_us is null or valid_until_us > swept_us)")
+    return found.select(*features.columns, "swept_us")

@@ -72,6 +72,25 @@ def live_state(spark, sf_dir):
     return live.state_at(_live(spark, sf_dir), AS_OF_US - 30 * HOUR)
 
 
+@query
+def valid_from_crossings(spark, sf_dir):
+    """Features that come in with an observation and become valid hours later, against sweeps of each source at its observed days."""
+    obs = observations(spark, sf_dir)
+    begins = F.col("observed_us") + (F.col("obs_id") % 9 - 2) * HOUR
+    features = obs.select("obs_id", "source", F.col("observed_us").alias("seen_us"), F.when(F.col("obs_id") % 10 != 0, begins).alias("valid_from_us"), F.when(F.col("obs_id") % 4 != 0, begins + F.col("obs_id") % 31 * HOUR).alias("valid_until_us"))
+    sweeps = obs.where("obs_id % 3 = 0").select("source", (F.floor(F.col("observed_us") / DAY_US) * DAY_US).alias("at_us"))
+    return live.valid_from_crossings(features, sweeps, ["source"]).select("obs_id", "swept_us")
+
+
+@query
+def query_tiles(spark, sf_dir):
+    """Disks that cover an area around each nation's place."""
+    key = F.col("n_nationkey")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    each = nations.select("n_nationkey", F.posexplode(geo.tiles(key * 14.0 - 170.0, key * 6.0 - 72.0, 100.0 + key * 40.0, 250.0)).alias("at", "d"))
+    return each.select("n_nationkey", "at", F.round("d.lon", 6).alias("lon"), F.round("d.lat", 6).alias("lat"), F.round("d.radius_nm", 3).alias("radius_nm"))
+
+
 @query
 def latest_per_source(spark, sf_dir):
     rows = fusion.latest(observations(spark, sf_dir), ["altitude_m", "label"], AS_OF_US)

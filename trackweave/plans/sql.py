@@ -66,6 +66,14 @@ _LIVE = (
 )
 told("live_changes", "select * exclude lon_source, lon_source as position_source from live", *_LIVE)
 told("live_state", f"select * exclude lon_source, lon_source as position_source from (select * from live where at_us <= {T - 30 * U} qualify row_number() over (partition by identity order by at_us desc, op = 'upsert', ord desc) = 1) where op <> 'remove'", *_LIVE)
+told("valid_from_crossings", "select obs_id, w.at_us as swept_us from f join w on f.source = w.source and f.b > w.before and f.b <= w.at_us and f.seen <= w.at_us and (f.e is null or f.e > w.at_us)",
+    f"f as (select obs_id, source, observed_us as seen, case when obs_id % 10 <> 0 then observed_us + (obs_id % 9 - 2) * {H} end as b, case when obs_id % 4 <> 0 then observed_us + (obs_id % 9 - 2 + obs_id % 31) * {H} end as e from obs)",
+    f"w as (select *, lag(at_us) over (partition by source order by at_us) as before from (select distinct source, observed_us // {D} * {D} as at_us from obs where obs_id % 3 = 0))")
+_cell = 250.0 * math.sqrt(2) * 0.85
+ORACLE["query_tiles"] = f"""with n as (select n_nationkey as k, n_nationkey * 14.0::double - 170.0 as lon, n_nationkey * 6.0::double - 72.0 as lat, 100.0::double + n_nationkey * 40.0 as radius from nation),
+g as (select *, j * {_cell} as up, i * {_cell} as east from n, range(-8, 9) a(j), range(-8, 9) b(i) where radius > 250 and sqrt(i * i + j * j) * {_cell} <= radius + {_cell} * sqrt(0.5))
+select k as n_nationkey, cast(row_number() over (partition by k order by j desc, i) - 1 as int) as "at", round((x - 360 * floor((x + 180) / 360)), 6) as lon, round(y, 6) as lat, 250.0::double as radius_nm
+from (select *, lon + east / (60 * cos(radians(lat))) as x, greatest(-90, least(90, lat + up / 60)) as y from g) union all select k, 0, round(lon, 6), round(lat, 6), round(radius, 3) from n where radius <= 250"""
 told("latest_per_source", "select identity, source, observed_us, received_us, ord, altitude_m, label, last_local_us from latest", LATEST)
 told("freshness_counts", "select source, fresh, tier, count(*) as n from contribs group by all", LATEST, ALL)
 _fields = ("altitude_m", "speed_mps", "heading_deg")
