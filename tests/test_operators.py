@@ -17,6 +17,8 @@ def test_scans(spark, tmp_path):
     assert [(r.correlation_key, r.altitude_m, r.lon, r.tags) for r in a] == [("aircraft:icao:adf7c9", 0.0, 2.0, ["on_ground"]), ("aircraft:icao:2b", 1000 * 0.3048, None, ["emergency", "non_icao", "bad_position"])]
     message = {"MessageType": "PositionReport", "MetaData": {"MMSI": 5, "latitude": 1.0, "longitude": 2.0}, "Message": {"PositionReport": {"Sog": 102.3, "Cog": 360.0, "TrueHeading": 511, "NavigationalStatus": 5}}}
     (tmp_path / "b.txt").write_text(json.dumps(message) + "\nnot json\n")
+    (tmp_path / "long.txt").write_text(json.dumps(message) + "\n" + json.dumps({**message, "pad": "x" * 70_000}) + "\n{}\n")
+    assert (scans.ais_lines(spark, f"{tmp_path}/long.txt").count(), scans.ais_rejects(spark, f"{tmp_path}/long.txt").count()) == (1, 2)
     [v] = normalise.vessels(scans.ais_lines(spark, f"{tmp_path}/b.txt")).collect()
     assert (v.correlation_key, v.lon, v.speed_mps, v.heading_deg, v.nav_status_text) == ("ais:vessel:5", 2.0, None, None, "moored")
     (tmp_path / "c.json").write_text(json.dumps({"S1": {"2024-01-01T00:00:00Z": {"lat": 1.0, "lon": 1.0, "frame": 1}, "2024-01-01T00:00:09Z": {"lat": 2.0, "lon": 1.0, "vel_v": -5.0, "frame": 2}}}))
@@ -153,3 +155,15 @@ def test_subscription_without_geometry(spark):
     rows = spark.createDataFrame([(k, "ais", "vessel", None) for k in kinds], "kind string, source string, track_type string, vertices array<array<double>>")
     for box in (None, (0.0, 0.0, 1.0, 1.0)):
         assert [r.kind for r in rows.where(filters.Subscription(bbox=box).predicate()).collect()] == kinds[1:]
+
+
+def test_store_and_back(spark):
+    """Everything that a track holds comes back, nested values too; bad payloads are skipped alone."""
+    kind = "record_id string, source string, observed_us long, tags array<string>, spot struct<lon: double, lat: double>, kind string"
+    tracks = spark.createDataFrame([("a", "ais", 5, ["x", 'q"'], (1.5, -2.0), "track"), ("b", "ais", 6, None, None, "track"), ("c", "ais", 7, [], None, "event")], kind)
+    rows = history.flattened(tracks, F.lit(9))
+    assert sorted(r.record_id for r in rows.collect()) == ["a", "b"] and rows.columns == [*history.STORED, "persisted_us", "payload"]
+    bad = [("{", ), ("[1]",), (None,), ('{"record_id": "d", "source": "ais"}',), ('{"record_id": "e", "source": "ais", "observed_us": "soon"}',), ("",)]
+    both = rows.select("payload").unionByName(spark.createDataFrame(bad, "payload string"))
+    back, skipped = history.reconstructed(both, kind, ["record_id", "observed_us"])
+    assert sorted(map(str, back.collect())) == sorted(map(str, tracks.where("kind = 'track'").collect())) and skipped.count() == len(bad)

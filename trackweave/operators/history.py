@@ -58,6 +58,37 @@ def write_history(rows: DataFrame, path: str) -> None:
     rows.withColumn("obs_date", day).hint("rebalance", "obs_date").write.mode("append").partitionBy("obs_date").parquet(path)
 
 
+#: Columns of a stored observation beside its payload.
+STORED = ("record_id", "correlation_key", "kind", "track_type", "source", "lon", "lat", "altitude_m", "observed_us", "received_us")
+
+
+def flattened(tracks: DataFrame, persisted_us: Column) -> DataFrame:
+    """Tracks as rows of the store: STORED (null where a track has no such column), persisted_us, and the whole track as JSON in payload.
+
+    Rows of other kinds, if there is a column `kind`, are not stored."""
+    own = tracks.where("kind = 'track'") if "kind" in tracks.columns else tracks.withColumn("kind", F.lit("track"))
+    kinds = dict.fromkeys(("lon", "lat", "altitude_m"), "double") | dict.fromkeys(("observed_us", "received_us"), "long")
+    held = [F.col(c) if c in own.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in STORED]
+    return own.select(*held, persisted_us.alias("persisted_us"), F.to_json(F.struct(*own.columns)).alias("payload"))
+
+
+def reconstructed(rows: DataFrame, schema: str, needed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(tracks, skipped rows) of stored payloads read as `schema`. A payload that is no such JSON, or lacks a needed field, is skipped; the rest of its window is not."""
+    read = rows.withColumn("_r", F.from_json("payload", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    whole = F.col("_r").isNotNull() & F.col("_r._bad").isNull()
+    for c in needed:
+        whole = whole & F.col(f"_r.{c}").isNotNull()
+    return read.where(whole).select("_r.*").drop("_bad"), read.where(~whole).select(*rows.columns)
+
+
+def merged(*feeds: DataFrame) -> DataFrame:
+    """Rows of several feeds as one; a column that a feed doesn't have is null in its rows."""
+    out = feeds[0]
+    for feed in feeds[1:]:
+        out = out.unionByName(feed, allowMissingColumns=True)
+    return out
+
+
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table with rows replaced by key; of several changes of a key, that of the highest seq."""
     newest = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in table.columns if c != key]), "seq").alias("r")).select(key, "r.*").select(*table.columns)

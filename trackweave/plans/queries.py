@@ -595,6 +595,27 @@ def track_history(spark, sf_dir):
     return rows.select("obs_id", "observed_us", "source")
 
 
+def _stored(spark, sf_dir):
+    """Two feeds with columns of their own as rows of the store, some of whose payloads are cut off."""
+    obs = observations(spark, sf_dir).withColumnsRenamed({"obs_id": "record_id", "identity": "correlation_key"})
+    common = ["record_id", "correlation_key", "track_type", "source", "observed_us", "received_us", "lon", "lat"]
+    near, far = obs.where("local_rf").select(*common, "altitude_m", "emergency"), obs.where("not local_rf").select(*common, "label")
+    rows = history.flattened(history.merged(near, far), F.col("received_us") + 5)
+    return rows.withColumn("payload", F.when(F.col("record_id") % 50 == 0, F.substring("payload", 1, 40)).otherwise(F.col("payload")))
+
+
+@query
+def store_rows(spark, sf_dir):
+    return _stored(spark, sf_dir).select(*history.STORED, "persisted_us", F.get_json_object("payload", "$.label").alias("told_label"))
+
+
+@query
+def replay_records(spark, sf_dir):
+    """Tracks read back from the store, without those whose payload is cut off."""
+    kinds = "record_id long, correlation_key string, track_type string, source string, observed_us long, received_us long, lon double, lat double, altitude_m double, emergency boolean, label string"
+    return history.reconstructed(_stored(spark, sf_dir), kinds, ["record_id", "source", "observed_us"])[0]
+
+
 @query
 def replay_window(spark, sf_dir):
     rows, told = history.replay_window(observations(spark, sf_dir), AS_OF_US - 3 * DAY_US, AS_OF_US, 500, ["local_adsb", "ais"])

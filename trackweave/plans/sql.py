@@ -74,6 +74,9 @@ ORACLE["query_tiles"] = f"""with n as (select n_nationkey as k, n_nationkey * 14
 g as (select *, j * {_cell} as up, i * {_cell} as east from n, range(-8, 9) a(j), range(-8, 9) b(i) where radius > 250 and sqrt(i * i + j * j) * {_cell} <= radius + {_cell} * sqrt(0.5))
 select k as n_nationkey, cast(row_number() over (partition by k order by j desc, i) - 1 as int) as "at", round((x - 360 * floor((x + 180) / 360)), 6) as lon, round(y, 6) as lat, 250.0::double as radius_nm
 from (select *, lon + east / (60 * cos(radians(lat))) as x, greatest(-90, least(90, lat + up / 60)) as y from g) union all select k, 0, round(lon, 6), round(lat, 6), round(radius, 3) from n where radius <= 250"""
+_feeds = "obs_id as record_id, identity as correlation_key, track_type, source, observed_us, received_us, lon, lat, case when local_rf then altitude_m end as altitude_m"
+told("store_rows", f"select {_feeds}, 'track' as kind, received_us + 5 as persisted_us, case when obs_id % 50 <> 0 and not local_rf then label end as told_label from obs")
+told("replay_records", f"select {_feeds}, case when local_rf then emergency end as emergency, case when not local_rf then label end as label from obs where obs_id % 50 <> 0")
 told("latest_per_source", "select identity, source, observed_us, received_us, ord, altitude_m, label, last_local_us from latest", LATEST)
 told("freshness_counts", "select source, fresh, tier, count(*) as n from contribs group by all", LATEST, ALL)
 _fields = ("altitude_m", "speed_mps", "heading_deg")

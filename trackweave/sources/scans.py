@@ -30,6 +30,13 @@ def ais_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("MetaData.longitude").alias("meta_longitude"), body["Sog"].alias("sog"), body["Cog"].alias("cog"), body["TrueHeading"].alias("true_heading"), body["NavigationalStatus"].alias("nav_status"), F.lit(None).cast("int").alias("ship_type"))
 
 
+def ais_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """`value`: the lines that ais_lines() doesn't take, being too long, malformed or without a message type."""
+    lines = spark.read.text(path)
+    kind = F.when(F.octet_length("value") <= MAX_RECORD_BYTES, F.from_json("value", AIS)["MessageType"])
+    return lines.where(kind.isNull())
+
+
 def packet_lines(spark: SparkSession, path: str) -> DataFrame:
     """`value`: lines of a packet feed, without empty ones and the server's own, which begin with #."""
     return spark.read.text(path).where("trim(value) <> '' and not startswith(ltrim(value), '#')")
