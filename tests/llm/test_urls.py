@@ -92,3 +92,68 @@ def test_url_edges(spark):
     assert urlfilter.url_report(pages(spark, urls).where("false"), RULES).count() == 0
     kept = urlfilter.url_filter(pages(spark, urls), RULES)
     assert kept.columns == ["page_id", "url"] and kept.where("url is null").isEmpty()
+
+
+def held_out(spark, yes, no):
+    return spark.createDataFrame([(True, s) for s in yes] + [(False, s) for s in no], "accepted boolean, score long").repartition(3)
+
+
+def brute_threshold(yes, no):
+    """The middle of the widest of the gaps between bins that part the classes best, drawn towards 0."""
+    bins = sorted({s // urlfilter.BIN for s in [*yes, *no]})
+    best = []
+    for left, right in zip(bins, bins[1:]):
+        cut = right * urlfilter.BIN
+        error = sum(s < cut for s in yes) / len(yes) + sum(s >= cut for s in no) / len(no)
+        best.append((error, left + 1 - right, (left + 1 + right) * urlfilter.BIN // 2))
+    error, _, middle = min(best, default=(1, 0, 0))
+    few = min(len(yes), len(no))
+    return middle * few // (few + urlfilter.LEAN) if error < 1 else 0
+
+
+def test_threshold_brute_force(spark):
+    pick = random.Random(4)
+    cases = [([1_101_000], [-107_297, -400_000]), ([5_000], [5_000]), ([-9_000], [9_000]), ([178_000, 300_500, 250_000] * 15, [-213_934] * 100 + [-900_000] * 6)]
+    cases += [([pick.randrange(-40_000, 90_000) for _ in range(n)], [pick.randrange(-90_000, 40_000) for _ in range(m)]) for n, m in ((1, 30), (30, 1), (40, 60))]
+    for yes, no in cases:
+        assert urlfilter.threshold(held_out(spark, yes, no)) == brute_threshold(yes, no)
+    assert urlfilter.threshold(held_out(spark, [7], [])) == urlfilter.threshold(held_out(spark, [], [7])) == 0
+
+
+def test_threshold_lies_in_the_gap(spark):
+    """One held-out URL doesn't carry the threshold to its own score; many take it to the middle of their gap."""
+    lone = urlfilter.threshold(held_out(spark, [1_101_000], [-107_297] * 9))
+    assert 0 < lone < 100_000
+    many = urlfilter.threshold(held_out(spark, [800_000] * 2_000, [200_000] * 2_000))
+    assert 480_000 < many < 510_000
+
+
+def plain_rule(url, rules):
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    end = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end])
+    path = rest[end : min([rest.index(c, end) for c in "?#" if c in rest[end:]], default=len(rest))]
+    fits = [r for _, r in rules if (host == r[: r.index("/")] or host.endswith("." + r[: r.index("/")])) and path.startswith(r[r.index("/") :])]
+    rule = max(fits, key=len, default=None)
+    return host, path, rule, next((v for v, r in rules if r == rule), None)
+
+
+def test_rules_and_verdicts_against_plain_python(spark):
+    urls = [f"https://{a}{h}{p}" for a in ("", "www.", "a.B.") for h in ("example.com", "Example.NET", "x.org", "com", "notexample.com", "de") for p in ("", "/", "/en/", "/en/7", "/en/71?x=/de/8", "/de/8#a", "/de/81", "/es/", "?/en/", "#/es/", "/EN/7")]
+    urls += [None, "", "://", "x://y://z.com/en/", "http://u:p@b.com:80/en/", "http://a.com\n/en/", "http://\u00dc.com/en/", "http://com/en/" + "a" * 20_000, *site_urls(20)]
+    rows = {r.page_id: r for r in urlfilter.url_report(pages(spark, urls).selectExpr("*", "'x' as host", "1 as score")).collect()}
+    assert len(rows) == len(urls)
+    for k, url in enumerate(urls):
+        host, path, rule, verdict = plain_rule(url, urlfilter.RULES)
+        r = rows[k]
+        assert (r.host, r.path, r.rule) == (host, path, rule), url
+        assert r.verdict == (verdict or r.verdict) and (host + path or r.verdict == "block")
+    undecided = {(r.host + r.path, r.score): set() for r in rows.values() if r.rule is None}
+    for r in rows.values():
+        if r.rule is None:
+            undecided[r.host + r.path, r.score].add(r.verdict)
+    assert all(len(v) == 1 for v in undecided.values())
+    told = [(r.score, r.verdict) for r in rows.values() if r.rule is None and r.host + r.path]
+    assert max((s for s, v in told if v == "block"), default=-1e18) < min((s for s, v in told if v == "allow"), default=1e18)

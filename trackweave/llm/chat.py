@@ -8,14 +8,17 @@ no text can hold a control string.
 
 Defined results: null text or role counts as empty. Turns are ordered by number (null first), then
 role, then text, so ties have an order; repeated rows are repeated turns. Rows with a null id form one
-conversation. A record whose layout is not declared, or that is null, gives no turns (see `unmapped`).
-An empty table gives an empty one; extra columns of the turn table are ignored. One conversation is
-one result row, however long: its chunks meet in one task only when it is assembled.
+conversation. A record whose layout is not declared, or that is null, is one turn of the role UNMAPPED
+that holds the record as JSON (null: empty), with a null `layout`; so is one whose list of messages is
+empty or does not read as one. `unmapped` counts their shapes. An empty table gives an empty one; extra
+columns of the turn table are kept, but those named like a result give way to it. One conversation is one
+result row, however long: its chunks meet in one task only when it is assembled.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +27,14 @@ TURNS = "array<struct<ord: bigint, role: string, text: string>>"
 SCALAR = r"(STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|BINARY|UUID|DATE|TIMESTAMP_NTZ|TIMESTAMP|DECIMAL\(\d+,\s*\d+\))(?=[,>]|$)"
 OPEN, MIDDLE, CLOSE = '<turn role="', '">', "</turn>\n"
 TRAINED = "assistant"
+#: The role of a record whose layout is not declared; it is never under the loss mask.
+UNMAPPED = "unmapped"
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
 @dataclass(frozen=True)
 class Layout:
-    """paths: every leaf, arrays as `name[]`. Either a list of messages (at, role, text, [order]) or fixed turns (role, fields joined by a blank line)."""
+    """paths: every leaf, arrays as `name[]`; any of `optional` may come beside them. Either a list of messages (at, role, text, [order]) or fixed turns (role, fields joined by a blank line)."""
 
     name: str
     paths: tuple[str, ...]
@@ -38,6 +43,11 @@ class Layout:
     text: str = ""
     order: str = ""
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    optional: tuple[str, ...] = ("id",)
+
+    def shapes(self) -> list[str]:
+        """Of the paths with every choice of the optional ones."""
+        return [shape_of(self.paths + some) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
 
     def turns(self, v: Column) -> Column:
         get = lambda field: F.try_variant_get(v, f"$.{field}", "string")
@@ -55,14 +65,14 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("turn rows", ("conv_id", "role", "text", "turn"), role="role", text="text", order="turn"),
-    Layout("messages", ("messages[].content", "messages[].role"), at="messages", role="role", text="content"),
-    Layout("conversations", ("conversations[].from", "conversations[].value"), at="conversations", role="from", text="value"),
+    Layout("turn rows", ("conv_id", "role", "text", "turn"), role="role", text="text", order="turn", optional=()),
+    Layout("messages", ("messages[].content", "messages[].role"), at="messages", role="role", text="content", optional=("id", "messages[].name", "source")),
+    Layout("conversations", ("conversations[].from", "conversations[].value"), at="conversations", role="from", text="value", optional=("id", "source")),
     Layout("prompt and response", ("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("prompt and completion", ("completion", "prompt"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("instruction", ("input", "instruction", "output"), fixed=(("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("instruction alone", ("instruction", "output"), fixed=(("user", ("instruction",)), ("assistant", ("output",)))),
-    Layout("question and answer", ("answer", "question", "system"), fixed=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))),
+    Layout("question and answer", ("answer", "question"), optional=("id", "system"), fixed=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",)))),
 )
 
 
@@ -85,17 +95,21 @@ def shape(record: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, key: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
-    """(key, ord, role, text) of every turn of every record."""
+    """(key, layout, ord, role, text) of every turn of every record; layout: the name of the mapping, null for what none fits."""
     told = records.select(F.col(key), F.col(record).alias("_v"), fingerprint(shape(F.col(record))).alias("_f"))
-    turns = F.lit(None).cast(TURNS)
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
-        turns = F.when(F.col("_f") == fingerprint(F.lit(shape_of(layout.paths))), layout.turns(F.col("_v"))).otherwise(turns)
-    return told.select(key, F.explode(turns).alias("_t")).select(key, "_t.*")
+        fits = F.col("_f").isin([fingerprint(F.lit(x)) for x in layout.shapes()])
+        name, turns = F.when(fits, F.lit(layout.name)).otherwise(name), F.when(fits, layout.turns(F.col("_v"))).otherwise(turns)
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("ord"), F.lit(UNMAPPED).alias("role"), F.coalesce(F.to_json("_v"), F.lit("")).alias("text")))
+    found = F.size(F.coalesce(turns, F.array().cast(TURNS))) > 0
+    told = told.select(key, F.when(found, name).alias("layout"), F.explode(F.when(found, turns).otherwise(whole)).alias("_t"))
+    return told.select(key, "layout", "_t.*")
 
 
 def unmapped(records: DataFrame, record: str, layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """(shape, n) of the records that no layout fits."""
-    known = [shape_of(x.paths) for x in layouts]
+    known = [x for layout in layouts for x in layout.shapes()]
     found = records.select(F.coalesce(shape(F.col(record)), F.lit("null")).alias("shape"))
     return found.where(~F.col("shape").isin(known)).groupBy("shape").agg(F.count("*").alias("n"))
 
@@ -111,12 +125,13 @@ def unescape(c: Column) -> Column:
 
 
 def chat_format(turns: DataFrame) -> DataFrame:
-    """turns with `chunk`, and where in the chunk the loss mask is on: `loss_from` and `loss_chars` (code points; null: nowhere)."""
+    """turns (role, text and more) with `chunk`, and where in the chunk the loss mask is on: `loss_from` and `loss_chars` (code points; null: nowhere)."""
     role = F.replace(escape(F.col("role")), F.lit('"'), F.lit("&quot;"))
     head = F.concat(F.lit(OPEN), role, F.lit(MIDDLE))
     body = escape(F.col("text"))
     on = F.col("role") == TRAINED
-    return turns.select("*", F.concat(head, body, F.lit(CLOSE)).alias("chunk"), F.when(on, F.length(head)).alias("loss_from"), F.when(on, F.length(body)).alias("loss_chars"))
+    made = {"chunk": F.concat(head, body, F.lit(CLOSE)), "loss_from": F.when(on, F.length(head)), "loss_chars": F.when(on, F.length(body))}
+    return turns.select(*[F.col(f"`{c}`") for c in turns.columns if c.lower() not in made], *[c.alias(name) for name, c in made.items()])
 
 
 def chunk_role(chunk: Column) -> Column:

@@ -79,7 +79,13 @@ def shard(docs: DataFrame, limit: int = SHARD_BYTES, carry: bool = False) -> Dat
     return done.select("doc_id", "bytes", "depth", F.concat(name, F.coalesce("page", F.lit(""))).alias("shard"), (F.col("bytes") > limit).alias("oversize"), *["_doc"] * carry)
 
 
-def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Every row of docs once under path/shard=.../, one task a shard; null and repeated ids too. docs has no column `shard`."""
-    rows = shard(docs, limit, carry=True).select("_doc.*", "shard")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> str:
+    """Every row of docs once under path/<column>=.../, one task a shard; null and repeated ids too.
+
+    Returns the column: `shard`, with as many `_` behind it as it takes to be no column of docs."""
+    taken, column = {c.lower() for c in docs.columns}, "shard"
+    while column in taken:
+        column += "_"
+    rows = shard(docs, limit, carry=True).select("_doc.*", F.col("shard").alias(column))
+    rows.repartition(F.col(column)).write.partitionBy(column).parquet(path)
+    return column

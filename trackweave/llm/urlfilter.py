@@ -6,8 +6,8 @@ after its scheme: lower-cased host, path, query and fragment. A context is in th
 EVIDENCE times, however long it is, so contexts lengthen with the input; orders grow by halves until none
 has that. Each order is smoothed with the one before by its number of distinct successors (Witten-Bell).
 The score is the difference of the two log-likelihoods, divided by the length. One fifth of the labelled
-URLs, by hash, is held out of training; the threshold is the score at which the share of held-out
-accepted URLs below it and of rejected ones at or above it is least in sum.
+URLs, by hash, is held out of training; the threshold is the middle of the gap in their scores that parts
+accepted from rejected ones best, drawn towards 0 while few are held out (see `threshold`).
 
 A log-likelihood is a sum over orders: of log P(byte | context) less that of the order before, which is
 one weight a context for all bytes not seen after it, and one more a gram seen. So the model is a table
@@ -42,8 +42,8 @@ START, END, SIZE = 256, 257, 258
 TABLE_ROWS = 200_000
 FOLDS = 5
 MICRO = 1_000_000
-#: Width of the bins of scores that calibration looks at.
-BIN = 1000
+#: Width of the bins of scores that calibration looks at, and the weight, in URLs, of a threshold of 0.
+BIN, LEAN = 1000, 20
 
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
@@ -201,19 +201,27 @@ def scores(urls: DataFrame, model: tuple[DataFrame, list[int]]) -> DataFrame:
 
 
 def threshold(held_out: DataFrame) -> int:
-    """The score that parts held-out urls (accepted, score) best."""
-    bins = held_out.groupBy("accepted", F.floor(F.col("score") / BIN).alias("bin")).count().collect()
-    total = {flag: sum(r["count"] for r in bins if r["accepted"] is flag) for flag in (True, False)}
-    if not all(total.values()):
+    """The score that parts held-out urls (accepted, score) best.
+
+    Among the gaps between neighbouring bins that hold urls, it is the middle of the one whose error
+    (share of accepted urls below plus share of rejected ones above) is least; of equal ones the widest,
+    then the lowest. While few are held out that middle says little, so it is drawn towards 0, where the
+    two models find a url equally likely, with the weight of LEAN urls against those of the rarer class.
+    It is 0 if a class is missing or no gap is better than none.
+    """
+    of_class = lambda flag: F.count_if(F.col("accepted") == flag)
+    bins = held_out.groupBy(F.floor(F.col("score") / BIN).alias("bin")).agg(of_class(True).alias("yes"), of_class(False).alias("no")).orderBy("bin").collect()
+    n_yes, n_no = sum(r.yes for r in bins), sum(r.no for r in bins)
+    if not n_yes or not n_no:
         return 0
-    best, at, lost, caught = 1.0, min(r["bin"] for r in bins), 0, 0
-    for b in sorted({r["bin"] for r in bins}):
-        error = lost / total[True] + 1 - caught / total[False]
-        if error < best:
-            best, at = error, b
-        lost += sum(r["count"] for r in bins if r["bin"] == b and r["accepted"])
-        caught += sum(r["count"] for r in bins if r["bin"] == b and not r["accepted"])
-    return int(at) * BIN
+    best, lost, caught = (1.0, 0, 0), 0, 0
+    for left, right in zip(bins, bins[1:]):
+        lost, caught = lost + left.yes, caught + left.no
+        error = lost / n_yes + 1 - caught / n_no
+        if error < 1:
+            best = min(best, (error, left.bin + 1 - right.bin, (left.bin + 1 + right.bin) * BIN // 2))
+    few = min(n_yes, n_no)
+    return int(best[2] * few // (few + LEAN))
 
 
 def judged(pages: DataFrame, keep: list[str], rules=RULES) -> DataFrame:
