@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +43,99 @@ def downsampled(rows: DataFrame, cutoff_us: int, gap_us: int) -> DataFrame:
 
 
 def without_oldest(rows: DataFrame, n: int) -> DataFrame:
-    """rows without the n oldest; n bounds the batch, ties go by id."""
-    oldest = rows.orderBy("observed_us", "obs_id").limit(n).select("obs_id")
-    return rows.join(oldest, "obs_id", "left_anti")
+    """rows without the n oldest; ties go by id.
+
+    The rows of each second are counted first: seconds that go whole take no sort, and only the rows of the second
+    in which the n-th lies are put in order. The second is found from slices of a day, then from those of its seconds."""
+    if n <= 0:
+        return rows
+    cut, left = None, n
+    for span in (86_400_000_000, 1_000_000):
+        within = rows if cut is None else rows.where((F.col("observed_us") >= cut) & (F.col("observed_us") < cut + 86_400_000_000))
+        counts = within.where("observed_us is not null").groupBy(F.floor(F.col("observed_us") / span).alias("at")).agg(F.count("*").alias("n"))
+        upto = counts.select("at", "n", F.sum("n").over(Window.orderBy("at")).alias("upto")).where(F.col("upto") >= left).orderBy("at").first()
+        if upto is None:  # fewer rows than n
+            return rows.where("observed_us is null")
+        cut, left = upto["at"] * span, left - (upto["upto"] - upto["n"])
+    border = (F.col("observed_us") >= cut) & (F.col("observed_us") < cut + 1_000_000)
+    oldest = rows.where(border).select("obs_id", "observed_us").orderBy("observed_us", "obs_id").limit(left).select("obs_id")
+    later = rows.where((F.col("observed_us") >= cut + 1_000_000) | F.col("observed_us").isNull())
+    return later.unionByName(rows.where(border).join(oldest, "obs_id", "left_anti").select(*rows.columns))
+
+
+@dataclass(frozen=True)
+class Retention:
+    """max_bytes 0: no budget; min_free 0: no floor of free disk. row_bytes: what a stored row takes."""
+
+    days: int
+    max_bytes: int
+    row_bytes: int
+    min_free: int = 0
+    least_rows: int = 5_000
+    high: float = 0.85
+    critical: float = 0.95
+
+    def pressure(self, size: int, free: int | None) -> str:
+        """critical, high or none."""
+        if self.min_free and free is not None and free <= self.min_free or self.max_bytes and size >= self.max_bytes * self.critical:
+            return "critical"
+        return "high" if self.max_bytes and size >= self.max_bytes * self.high else "none"
+
+
+DAY_US, ATTEMPTS, THIN_AFTER_DAYS, THIN_US = 86_400_000_000, 4, 1, 30_000_000
+
+
+def retention_ladder(rows: DataFrame, now_us: int, policy: Retention, free: int | None = None) -> tuple[DataFrame, dict]:
+    """What one sweep keeps, and its report: pressure, rows before and after, how many each step took, effective days.
+
+    Rows older than the window always go. Under pressure, told by the size before the sweep, rows older than a day are
+    thinned to one in 30 s of an identity. Then, at most four times and until there is no pressure: the oldest go down to
+    the high mark if the size is above it; else the window is halved, down to a day; else the oldest `least_rows` go.
+    Free disk grows by what goes. Rows are filtered and never numbered as a whole; the driver sees counts alone."""
+    before = kept = rows.count()
+    out, took, days = older_kept(rows, now_us - policy.days * DAY_US), {"expired": 0, "thinned": 0, "oldest": 0}, policy.days
+
+    def settle(step: str) -> None:
+        nonlocal kept
+        n = out.count()
+        took[step], kept = took[step] + kept - n, n
+
+    settle("expired")
+    free_now = lambda: None if free is None else free + (before - kept) * policy.row_bytes
+    pressure = policy.pressure(before * policy.row_bytes, free)
+    if pressure != "none":
+        out = downsampled(out, now_us - THIN_AFTER_DAYS * DAY_US, THIN_US)
+        settle("thinned")
+        for _ in range(ATTEMPTS):
+            size, mark = kept * policy.row_bytes, policy.max_bytes * policy.high
+            if policy.pressure(size, free_now()) == "none" or not kept:
+                break
+            if policy.max_bytes and size > mark:
+                out = without_oldest(out, min(kept, max(policy.least_rows, math.ceil((size - mark) / policy.row_bytes))))
+                settle("oldest")
+            elif days > 1:
+                days = max(1, days // 2)
+                out = older_kept(out, now_us - days * DAY_US)
+                settle("expired")
+            else:
+                out = without_oldest(out, policy.least_rows)
+                settle("oldest")
+    return out, {"pressure": pressure, "rows_before": before, "rows_after": kept, **took, "days": days}
+
+
+def pressure_records(report: dict, now_us: int) -> list[dict]:
+    """The status and the event that a sweep under pressure gives; none without pressure."""
+    if report["pressure"] == "none":
+        return []
+    told = f"{report['pressure']} pressure: {report['rows_before']} rows before, {report['rows_after']} after; {report['expired']} expired, {report['thinned']} thinned, {report['oldest']} oldest; {report['days']} days"
+    common = {"source": "retention", "observed_us": now_us, "code": "storage_pressure", "summary": told}
+    severity = "critical" if report["pressure"] == "critical" else "warning"
+    return [{"kind": "source_status", "status": "degraded", "severity": None, **common}, {"kind": "event", "status": None, "severity": severity, **common}]
+
+
+def older_kept(rows: DataFrame, cutoff_us: int) -> DataFrame:
+    """rows but those before the cutoff; such without a time stay."""
+    return rows.where(F.coalesce(F.col("observed_us") >= cutoff_us, F.lit(True)))
 
 
 def pressure(size: int, limit: int, free: int, floor: int) -> str:

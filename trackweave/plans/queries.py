@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, orbital
 from ..operators import alerts, fences, filters, fusion, gates, history, live, orbits, ranges
-from ..sources import normalise, packets
+from ..sources import frames, normalise, packets
 from .observations import AS_OF_US, DAY_US, STATION, UNIT_US, observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,6 +471,22 @@ def packet_tracks(spark, sf_dir):
     return found.select("obs_id", "correlation_key", "track_type", "observed_us", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.round("altitude_m", 3).alias("altitude_m"), F.round("speed_mps", 6).alias("speed_mps"), "heading_deg", F.array_join("tags", ",").alias("tags"), F.col("weather.temp_f").alias("temp_f"), "comment", "status", "relayed_by")
 
 
+@query
+def modem_frames(spark, sf_dir):
+    """A packet an observation as the modem of its source sends it, each cut into two chunks inside an address; some hold bytes that are stuffed."""
+    n = F.col("obs_id")
+    call = F.concat(F.lit("N"), (n % 10_000).cast("string"))
+    path = F.concat(frames.wire_address(F.lit("APRS"), F.lit(0), False), frames.wire_address(call, n % 16, False), frames.wire_address(F.lit("WIDE1"), F.lit(1), True, n % 2 == 0))
+    text = F.concat(F.lit("!obs "), n.cast("string"), F.when(n % 4 == 0, frames.END + frames.ESCAPE).otherwise(""))
+    sent = F.concat(F.lit(frames.END), frames.stuffed(F.concat(F.lit("\0"), path, F.lit(frames.UNNUMBERED + frames.NO_LAYER_3), text)), F.lit(frames.END))
+    cut = (n % 5 + 3).cast("int")
+    chunk = lambda k, part: F.struct((n * 2 + k).alias("seq"), F.encode(part, "ISO-8859-1").alias("bytes"))
+    rows = observations(spark, sf_dir).select("source", n, sent.alias("sent"))
+    halves = F.array(chunk(0, F.substring("sent", F.lit(1), cut)), chunk(1, F.substring("sent", cut + 1, F.length("sent"))))
+    ended, _ = frames.kiss_frames(rows.select("source", F.explode(halves).alias("c")).select("source", "c.*"), "source", "seq", "bytes")
+    return ended.select("source", "frame", "seq", frames.packet_line(F.col("body")).alias("line"))
+
+
 @query
 def file_key_times(spark, sf_dir):
     n = F.col("obs_id")
@@ -644,6 +660,16 @@ def retention_oldest(spark, sf_dir):
     return history.without_oldest(observations(spark, sf_dir), 300).select("obs_id")
 
 
+@query
+def retention_ladder(spark, sf_dir):
+    """One sweep over a store that may hold two fifths of what it does."""
+    obs = observations(spark, sf_dir)
+    policy = history.Retention(days=25, max_bytes=obs.count() * 40 + 7, row_bytes=100, least_rows=100)
+    kept, report = history.retention_ladder(obs, AS_OF_US, policy)
+    told = [F.lit(report["pressure"]).alias("pressure"), *[F.lit(report[c]).cast("long").alias(c) for c in ("expired", "thinned", "oldest", "days")]]
+    return kept.groupBy("source").agg(F.count("*").alias("n"), F.min("observed_us").alias("oldest_us")).select("*", *told)
+
+
 @query
 def config_upsert(spark, sf_dir):
     obs = observations(spark, sf_dir)

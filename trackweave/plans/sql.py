@@ -273,3 +273,10 @@ told("bus_routing", "select topic, qos, retain, count(*) as n from (select case
 told("seen_sets", "select coalesce(a.identity, b.identity) as identity, case when a.identity is null then 'new' when b.identity is null then 'forgotten' else 'kept' end as part from a full join b on a.identity = b.identity",
     f"a as (select distinct identity from obs where observed_us >= {T - 2 * D} and observed_us < {T - D})", f"b as (select distinct identity from obs where observed_us >= {T - D} and observed_us < {T})")
 told("presentation_layers", "select distinct case track_type when 'aircraft' then 'air' when 'vessel' then 'sea' else 'radio' end as layer, source from obs where lon is not null")
+told("modem_frames", """select source, 2 * row_number() over (partition by source order by obs_id) - 1 as frame, obs_id * 2 + 1 as seq,
+  'N' || obs_id % 10000 || case when obs_id % 16 > 0 then '-' || obs_id % 16 else '' end || '>APRS,WIDE1-1' || case when obs_id % 2 = 0 then '*' else '' end || ':!obs ' || obs_id || case when obs_id % 4 = 0 then chr(65533) || chr(65533) else '' end as line from obs""")
+told("retention_ladder", """select source, count(*) as n, min(observed_us) as oldest_us, 'critical' as pressure, (select count(*) from obs) - (select count(*) from w) as expired, (select count(*) from w) - (select count(*) from y) as thinned, (select want from g) as oldest, 25::bigint as days
+  from (select * from y qualify row_number() over (order by observed_us, obs_id) > (select want from g)) group by source""",
+    f"w as (select * from obs where observed_us >= {T - 25 * D})",
+    f"y as (select * from w where observed_us >= {T - D} or obs_id in (select min(obs_id) from w where observed_us < {T - D} group by identity, observed_us // 30000000))",
+    "g as (select greatest(100, ceil((count(*) * 100 - ((select count(*) from obs) * 40 + 7) * 0.85) / 100))::bigint as want from y)")
