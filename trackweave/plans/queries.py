@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, orbital
 from ..operators import alerts, fences, filters, fusion, gates, history, live, orbits, ranges
-from ..sources import frames, normalise, packets
+from ..sources import frames, normalise, packets, restrictions
 from .observations import AS_OF_US, DAY_US, STATION, UNIT_US, observations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -487,6 +487,22 @@ def modem_frames(spark, sf_dir):
     return ended.select("source", "frame", "seq", frames.packet_line(F.col("body")).alias("line"))
 
 
+@query
+def flight_restrictions(spark, sf_dir):
+    """A notice around each observed place: triangles, some with a bad vertex, some of two areas, some cancelled, in three zones."""
+    n, half = F.col("obs_id"), (F.col("obs_id") % 3 + 1) * F.lit(0.0503)
+    vertex = lambda lon, lat: F.format_string("<Avx><geoLat>%.6fN</geoLat><geoLong>%.6fW</geoLong></Avx>", lat, -lon)
+    corner = F.when(n % 10 == 3, "<Avx><geoLat>95.0N</geoLat><geoLong>95.0W</geoLong></Avx>").otherwise(vertex(F.col("lon") + half, F.col("lat") + half))
+    area = F.concat(F.lit("<TFRAreaGroup><abdMergedArea>"), vertex(F.col("lon") - half, F.col("lat") - half), vertex(F.col("lon") + half, F.col("lat") - half), corner, F.lit("</abdMergedArea></TFRAreaGroup>"))
+    second = F.when(n % 4 == 0, "<TFRAreaGroup><abdMergedArea><Avx><geoLat>1.0N</geoLat></Avx></abdMergedArea></TFRAreaGroup>").otherwise("")
+    zone = F.element_at(F.array(*map(F.lit, ("EST", "UTC", "XYZ"))), (n % 3 + 1).cast("int"))
+    action = F.when(n % 9 == 0, "Cancel").otherwise("Add")
+    xml = F.concat(F.lit("<XNOTAM-Update><Group><"), action, F.lit("><Not><NotUid><txtLocalName>Area "), n.cast("string"), F.lit("</txtLocalName></NotUid><dateEffective>2024-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T08:00:00</dateEffective><codeTimeZone>"), zone, F.lit("</codeTimeZone><TfrNot>"), area, second, F.lit("</TfrNot></Not></"), action, F.lit("></Group></XNOTAM-Update>"))
+    docs = observations(spark, sf_dir).where("lon is not null").select("obs_id", "received_us", xml.alias("xml"), F.lit("VIP").alias("listed"))
+    found = restrictions.notices(docs, "obs_id", "xml", "listed", "received_us")
+    return found.select("obs_id", "kind", "label", "dropped_areas", "valid_from_us", "observed_us", F.size(F.flatten("rings")).alias("points"), restrictions.near(F.col("rings"), *STATION, 20_000.0).alias("near"))
+
+
 @query
 def file_key_times(spark, sf_dir):
     n = F.col("obs_id")

@@ -280,3 +280,8 @@ told("retention_ladder", """select source, count(*) as n, min(observed_us) as ol
     f"w as (select * from obs where observed_us >= {T - 25 * D})",
     f"y as (select * from w where observed_us >= {T - D} or obs_id in (select min(obs_id) from w where observed_us < {T - D} group by identity, observed_us // 30000000))",
     "g as (select greatest(100, ceil((count(*) * 100 - ((select count(*) from obs) * 40 + 7) * 0.85) / 100))::bigint as want from y)")
+_reached = " or ".join(f"{haversine(x, y, LON, LAT)} <= 20000" for x, y in (("lon - half", "lat - half"), ("lon + half", "lat - half"), ("lon + half", "lat + half")))
+told("flight_restrictions", f"""select obs_id, case when bad then 'event' else 'feature' end as kind, case when bad then 'Restriction ' || obs_id || ', Area ' || obs_id || ': no usable geometry' else 'Area ' || obs_id end as label, case when bad then 1 else 0 end + case when obs_id % 4 = 0 then 1 else 0 end as dropped_areas,
+  case obs_id % 3 when 2 then null else epoch_us(make_timestamp(2024, 1, obs_id % 28 + 1, 8, 0, 0.0)) + case obs_id % 3 when 0 then {5 * 3600 * 1_000_000} else 0 end end as valid_from_us, received_us as observed_us, case when not bad then 4 end as points,
+  not bad and ({_reached} or ({LON} <= lon + half and {LAT} >= lat - half and {LAT} - lat < {LON} - lon)) as near
+  from (select *, (obs_id % 3 + 1) * 0.0503::double as half, obs_id % 10 = 3 as bad from obs where lon is not null and obs_id % 9 > 0)""")
