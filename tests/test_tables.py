@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackweave.functions import geo
 from trackweave.operators import fences, ranges
+from trackweave.plans.queries import QUERIES
 from trackweave.sources import normalise
 
 POINTS = "id long, lon double, lat double, altitude_m double, fence_id string, x string, level int"
@@ -107,3 +108,20 @@ def test_blocks_are_few_and_exact(spark, pairs):
 
 def test_bare_address_is_a_block_of_one():
     assert normalise.parse_ranges("abcdef, 1-a,zz,5-2,") == [(0xABCDEF, 0xABCDEF), (1, 10)]
+
+
+def test_cells_are_never_broadcast(spark):
+    """A cover is many times as large as its table looks: small files must not send it through the driver."""
+    for name in ("area_fences",):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_pairs_are_found_once(spark):
+    """Areas and fences of very different sizes, around the antimeridian too, that share many cells or just an edge."""
+    square = lambda x, y, s: [[[x, y], [x + s, y], [x + s, y + s], [x, y + s]]]
+    areas = spark.createDataFrame([("a", square(178.0, 0.0, 4.0)), ("b", square(-179.5, 1.0, 0.01)), ("c", square(182.0, 4.0, 1.0)), ("d", square(0.0, 0.0, 8.0))], "area string, rings array<array<array<double>>>")
+    shapes = [("f", square(179.9, 0.5, 0.2)), ("g", square(-180.1, 0.9, 1.0)), ("h", square(182.0, 3.0, 1.0)), ("i", square(1.0, 1.0, 0.001)), ("j", square(-4.0, -4.0, 16.0))]
+    table = spark.createDataFrame([(k, None, None, r, None, None) for k, r in shapes], fences.SCHEMA)
+    got = sorted(tuple(r) for r in fences.meeting(areas, table, "area").collect())
+    assert got == [("a", "f"), ("a", "g"), ("a", "h"), ("b", "g"), ("c", "h"), ("d", "i"), ("d", "j")]
