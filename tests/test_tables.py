@@ -112,7 +112,7 @@ def test_bare_address_is_a_block_of_one():
 
 def test_cells_are_never_broadcast(spark):
     """A cover is many times as large as its table looks: small files must not send it through the driver."""
-    for name in ("area_fences",):
+    for name in ("area_fences", "fence_table"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
@@ -125,3 +125,11 @@ def test_pairs_are_found_once(spark):
     table = spark.createDataFrame([(k, None, None, r, None, None) for k, r in shapes], fences.SCHEMA)
     got = sorted(tuple(r) for r in fences.meeting(areas, table, "area").collect())
     assert got == [("a", "f"), ("a", "g"), ("a", "h"), ("b", "g"), ("c", "h"), ("d", "i"), ("d", "j")]
+
+
+def test_points_of_one_place(spark):
+    """A place is tested once; its points differ in altitude and may repeat."""
+    points = spark.createDataFrame([(1, 0.0, 0.0, 50.0), (2, 0.0, 0.0, 500.0), (2, 0.0, 0.0, 50.0), (3, 0.0, 0.0, None), (4, 9.0, 0.0, 50.0)], "id int, lon double, lat double, altitude_m double")
+    table = spark.createDataFrame([("low", [0.0, 0.0], 100.0, None, None, 100.0), ("any", [0.0, 0.0], 100.0, None, None, None)], fences.SCHEMA)
+    got = sorted(tuple(r) for r in fences.inside(points, table, ["id"]).collect())
+    assert got == [(1, "any"), (1, "low"), (2, "any"), (2, "any"), (2, "low"), (3, "any")]
