@@ -77,18 +77,18 @@ def weather(data: Column) -> Column:
     return F.struct(wind[0].alias("wind_dir_deg"), wind[1].alias("wind_speed_mph"), *[v.alias(k) for k, v in scaled.items()], celsius.alias("temp_c"))
 
 
-def position(body: Column) -> Column:
+def position(body: Column, altitude: str = ALTITUDE) -> Column:
     """struct<lat, lon, symbol, course, speed_kt, altitude_m, ambiguous, comment, is_weather, weather> of a plain or compressed position; null if malformed."""
     piece = lambda at, n: F.substring(body, at, n)
     data, code = F.substr(body, F.lit(20)), piece(19, 1)
     at = normalise.aprs_uncompressed(piece(1, 8), piece(10, 9))
     course, speed = part(data, COURSE_SPEED, 1).try_cast("double"), part(data, COURSE_SPEED, 2).try_cast("double")
     rest = F.regexp_replace(data, COURSE_SPEED, "")
-    said = stripped(F.regexp_replace(rest, F.lit(f"^(.*?){ALTITUDE}"), F.lit("$1")))
+    said = stripped(F.regexp_replace(rest, F.lit(f"^(.*?){altitude}"), F.lit("$1")))
     moves = code != "_"
     plain = F.struct(
         at["lat"].alias("lat"), at["lon"].alias("lon"), F.concat(piece(9, 1), code).alias("symbol"), F.when(moves & course.between(1, 360), course).alias("course"), F.when(moves, speed).alias("speed_kt"),
-        (part(rest, ALTITUDE).try_cast("double") * normalise.FT_M).alias("altitude_m"), at["ambiguous"].alias("ambiguous"), F.when(moves, said).otherwise("").alias("comment"), (~moves).alias("is_weather"), F.when(~moves, weather(data)).alias("weather"))
+        (part(rest, altitude).try_cast("double") * normalise.FT_M).alias("altitude_m"), at["ambiguous"].alias("ambiguous"), F.when(moves, said).otherwise("").alias("comment"), (~moves).alias("is_weather"), F.when(~moves, weather(data)).alias("weather"))
     c = normalise.aprs_compressed(piece(1, 13))
     squeezed = F.struct(
         c["lat"].alias("lat"), c["lon"].alias("lon"), F.concat(piece(1, 1), piece(10, 1)).alias("symbol"), c["course"].alias("course"), c["speed_kt"].alias("speed_kt"), c["altitude_m"].alias("altitude_m"),
@@ -96,11 +96,12 @@ def position(body: Column) -> Column:
     return F.when(body.rlike("^[0-9 ]"), F.when((F.length(body) >= 19) & at.isNotNull(), plain)).otherwise(F.when((F.length(body) >= 13) & c.isNotNull(), squeezed))
 
 
-def tracks(lines: DataFrame, line: str, received_us: Column, source: str, local: bool) -> DataFrame:
+def tracks(lines: DataFrame, line: str, received_us: Column, source: str, local: bool, altitude: str = ALTITUDE) -> DataFrame:
     """lines with correlation_key and the track's columns; those that are no packet of a known kind have a null correlation_key.
 
     Known are positions, objects, items, status and weather; a third-party packet is unwrapped once. Others (Mic-E, telemetry,
-    messages), malformed lines and lines over LONGEST characters are not. Columns of lines must not bear names of the result."""
+    messages), malformed lines and lines over LONGEST characters are not. Columns of lines must not bear names of the result.
+    `altitude` is the pattern of feet in a comment, for feeds that write more digits than the format's six."""
     once = lambda df, name, c: df.select("*", F.explode(F.array(c)).alias(name))  # noqa: E731  worked out once, not in each use
     df = once(lines.withColumn("_received", received_us), "_outer", frame(stripped(F.col(line))))
     relayed = F.startswith(F.col("_outer.info"), F.lit("}"))
@@ -115,7 +116,7 @@ def tracks(lines: DataFrame, line: str, received_us: Column, source: str, local:
         .when(first == ">", of("status", text=stripped(cut(2)))).when(first == "_", of("weather", stamp=cut(2, 8), text=cut(10)))
         .when(first.isin("!", "="), of("position", body=cut(2))).when(first.isin("/", "@"), of("position", stamp=cut(2, 7), body=cut(9))))
     df = once(df, "_k", shape)
-    df = once(df, "_p", F.when(F.coalesce(F.col("_k.body"), F.lit("")) != "", position(F.col("_k.body"))))
+    df = once(df, "_p", F.when(F.coalesce(F.col("_k.body"), F.lit("")) != "", position(F.col("_k.body"), altitude)))
     kind, p = F.col("_k.kind"), F.col("_p")
     named = kind.isin("object", "item")
     known = kind.isNotNull() & F.when(named, F.col("_k.name") != "").when(kind == "position", p.isNotNull()).otherwise(True)
