@@ -71,13 +71,16 @@ def notices(docs: DataFrame, key: str, xml: str, listed: str, received_us: str)
 
 
 def near(rings: Column, lon: float, lat: float, radius_m: float) -> Column:
-    """A vertex within reach, or the place inside a ring (even-odd, no rule for places on an edge); without rings false."""
+    """A vertex within reach, or the place inside a ring (even-odd); without rings false.
+
+    Which side of an edge the place is on is told from the place's own frame, where differences to vertices are exact or nearly so. An edge through the place counts as east of it."""
     x, y = F.lit(lon), F.lit(lat)
 
     def holds(r: Column) -> Column:
         sides = F.arrays_zip(F.slice(r, F.lit(1), F.size(r) - 1).alias("a"), F.slice(r, F.lit(2), F.size(r) - 1).alias("b"))
         spans = F.filter(sides, lambda s: (s["a"][1] > y) != (s["b"][1] > y))
-        east = F.filter(spans, lambda s: s["a"][0] + (s["b"][0] - s["a"][0]) * ((y - s["a"][1]) / (s["b"][1] - s["a"][1])) > x)
+        turn = lambda s: (s["a"][0] - x) * (s["b"][1] - y) - (s["a"][1] - y) * (s["b"][0] - x)  # noqa: E731  positive: the place lies left of the edge
+        east = F.filter(spans, lambda s: F.when(s["b"][1] > y, turn(s) >= 0).otherwise(turn(s) <= 0))
         return F.size(east) % 2 == 1
 
     reached = F.exists(F.flatten(rings), lambda p: geo.haversine_m(p[0], p[1], x, y) <= radius_m)
