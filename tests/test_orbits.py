@@ -94,3 +94,11 @@ def test_frames(spark):
 def test_queries_without_sql(spark):
     for name in queries.NO_SQL:
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_elements_of_one_file_are_dealt(spark):
+    """The search of passes is the work: a table that one task reads is dealt to all cores."""
+    from trackweave.plans.queries import QUERIES
+
+    for name in ("pass_predictions", "predicted_tracks"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
