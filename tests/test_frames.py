@@ -68,3 +68,9 @@ def test_escapes_and_garbage(spark, monkeypatch):
     lines, rest = told(spark, {"g": [good, *[b"z" * 900] * 9, good, good[:5], good[5:]], None: [good, good[:9], b"y" * 4097]})
     assert [r.line for r in lines if r.name == "g"] == [LINES[0][1]] * 3 and [r.line for r in lines if r.name is None] == [LINES[0][1]]
     assert rest == {} and told(spark, {"e": []} | {"f": [b""]}) == ([], {})
+
+
+def test_bytes_are_unstuffed_once(spark):
+    """A line looks at some hundred bytes of a frame; its stuffing is taken out once, not for each."""
+    plan = spark.createDataFrame([("x",)], "body string").select(frames.packet_line(F.col("body")).alias("line"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 2

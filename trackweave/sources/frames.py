@@ -30,6 +30,11 @@ def latin(data: Column) -> Column:
     return F.coalesce(F.decode(data, "ISO-8859-1"), F.lit(""))
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with value worked out once a row, though body uses it for many bytes."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def kiss_frames(chunks: DataFrame, stream: str, order: str, data: str) -> tuple[DataFrame, DataFrame]:
     """(stream, frame, order, body) of the frames that have ended, and (stream, rest) of what is still open.
 
@@ -75,9 +80,8 @@ def stuffed(body: Column) -> Column:
 
 def packet_line(body: Column) -> Column:
     """`SOURCE>DESTINATION,RELAY*:text` of a frame as it came, null if it is none."""
-    plain = unstuffed(body)
-    data = F.ascii(F.substring(plain, 1, 1)) % 16 == 0
-    return F.when((F.length(plain) > 0) & data, link_line(F.substring(plain, F.lit(2), F.length(plain))))
+    data = lambda plain: F.ascii(F.substring(plain, 1, 1)) % 16 == 0
+    return once(unstuffed(body), lambda plain: F.when((F.length(plain) > 0) & data(plain), once(F.substring(plain, F.lit(2), F.length(plain)), link_line)))
 
 
 def link_line(link: Column) -> Column:
@@ -85,7 +89,12 @@ def link_line(link: Column) -> Column:
     byte = lambda at: F.ascii(F.substring(link, at, F.lit(1)))
     start = lambda k: k * ADDRESS_BYTES + 1
     slots = F.sequence(F.lit(0), F.lit(MAX_ADDRESSES - 1))
-    last = F.get(F.filter(slots, lambda k: byte(start(k) + 6) % 2 == 1), F.lit(0))  # none: null
+    return once(F.get(F.filter(slots, lambda k: byte(start(k) + 6) % 2 == 1), F.lit(0)), lambda last: _line(link, last))  # none: null
+
+
+def _line(link: Column, last: Column) -> Column:
+    byte = lambda at: F.ascii(F.substring(link, at, F.lit(1)))
+    start = lambda k: k * ADDRESS_BYTES + 1
 
     def address(k: Column) -> Column:
         call = F.rtrim(F.translate(F.substring(link, start(k), F.lit(6)), _WIRE, _CALL))
@@ -94,12 +103,13 @@ def link_line(link: Column) -> Column:
         relayed = F.when((k >= 2) & (tail >= 128), "*").otherwise("")
         return F.concat(call, F.when(number > 0, F.concat(F.lit("-"), number.cast("string"))).otherwise(""), relayed)
 
-    told = F.transform(F.sequence(F.lit(0), last), address)
     after = (last + 1) * ADDRESS_BYTES + 1
     text = F.regexp_replace(F.substring(link, after + 2, F.length(link)), "[\u0080-ÿ]", "�")
-    relays = F.array_join(F.transform(F.slice(told, F.lit(3), F.lit(MAX_ADDRESSES)), lambda x: F.concat(F.lit(","), x)), "")
-    fits = (F.length(link) >= MIN_BYTES) & (last >= 1) & (F.substring(link, after, F.lit(2)) == UNNUMBERED + NO_LAYER_3) & ~F.exists(told, lambda x: F.contains(x, F.lit("!")))
-    return F.when(fits, F.concat(F.get(told, F.lit(1)), F.lit(">"), F.get(told, F.lit(0)), relays, F.lit(":"), text))
+    relays = lambda told: F.array_join(F.transform(F.slice(told, F.lit(3), F.lit(MAX_ADDRESSES)), lambda x: F.concat(F.lit(","), x)), "")
+    sound = lambda told: ~F.exists(told, lambda x: F.contains(x, F.lit("!")))
+    fits = (F.length(link) >= MIN_BYTES) & (last >= 1) & (F.substring(link, after, F.lit(2)) == UNNUMBERED + NO_LAYER_3)
+    joined = lambda told: F.when(sound(told), F.concat(F.get(told, F.lit(1)), F.lit(">"), F.get(told, F.lit(0)), relays(told), F.lit(":"), text))
+    return F.when(fits, once(F.transform(F.sequence(F.lit(0), last), address), joined))
 
 
 def wire_address(call: Column, number: Column, last: bool, relayed: Column | bool = False) -> Column:
