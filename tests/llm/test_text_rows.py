@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import sys
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from hypothesis import strategies as st
 
 from trackweave.llm import bpe, quality, secrets, tokencount
 
-from .conftest import edge_rows
+from .conftest import edge_rows, prose
 
 
 def base_counts(text):
@@ -102,6 +104,19 @@ def test_small_tables_change_nothing(tools):
         assert np.frombuffer(bpe.encode_text(tight, pattern, row[1] or ""), "<u4").tolist() == library.encode_ordinary(row[1] or "")
 
 
+def test_bpe_memory(tools):
+    """What the tables of one worker take: states are packed, and moves are plain numbers. The result of a small table is the same."""
+    machine, _, pattern = bpe.machines(None, None)
+    texts = [prose(900 + k, 300, 5000) for k in range(20)]
+    full, tight = bpe.Transducer(machine.ranks), bpe.Transducer(machine.ranks, table_rows=1000)
+    tracemalloc.start()
+    want = [bpe.encode_text(full, pattern, t) for t in texts]
+    used = tracemalloc.get_traced_memory()[0] - sum(map(sys.getsizeof, want))
+    tracemalloc.stop()
+    assert used < 400 * (len(full.moves) + len(full.ends))
+    assert [bpe.encode_text(tight, pattern, t) for t in texts] == want
+
+
 def test_bpe_query(docs, no_docs, tools):
     texts = {r[0]: r[1] or "" for r in edge_rows() if r[0] is not None}
     rows = bpe.bpe_encode(docs).collect()

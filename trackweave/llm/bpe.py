@@ -24,6 +24,7 @@ import functools
 import gc
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 from itertools import islice
 
@@ -66,6 +67,19 @@ def pack(ids: tuple[int, ...]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def packed_state(places: list[tuple[int, tuple[int, ...]]]) -> bytes:
+    return array("i", [x for node, chain in places for x in (node, len(chain), *chain)]).tobytes()
+
+
+def unpacked_state(state: bytes) -> list[tuple[int, tuple[int, ...]]]:
+    flat, places, at = memoryview(state).cast("i").tolist(), [], 0
+    while at < len(flat):
+        end = at + 2 + flat[at + 1]
+        places.append((flat[at], tuple(flat[at + 2 : end])))
+        at = end
+    return places
+
+
 class Transducer:
     """encode(piece): the token ids of one pre-token as little-endian 32-bit integers."""
 
@@ -97,11 +111,13 @@ class Transducer:
     def _clear(self) -> None:
         """A state lists the places where a token may start, first to last: (node of the bytes since, tokens up to there).
 
-        The tokens begin with the last emitted one, or START; the last place is the end of what was read."""
-        start = ((0, (START,)),)
+        The tokens begin with the last emitted one, or START; the last place is the end of what was read.
+        States are kept as packed bytes, and a move as the number of its state, or the complement of that if emits has what it emits."""
+        start = packed_state([(0, (START,))])
         self.ids = {start: 0}
         self.states = [start]
-        self.moves: dict[int, tuple[int, bytes]] = {}
+        self.moves: dict[int, int] = {}
+        self.emits: dict[int, bytes] = {}
         self.ends: dict[int, bytes] = {}
 
     def _halves(self, token: int) -> tuple[int, ...]:
@@ -138,7 +154,7 @@ class Transducer:
         """With one byte more: the tokens up to the end, of which exactly one candidate fits what stands left of it; and the places still open."""
         children, token_at, inner = self.children, self.token_at, self.inner
         last, places = None, []
-        for node, chain in self.states[state]:
+        for node, chain in unpacked_state(self.states[state]):
             after = children.get(node << 8 | byte)
             if after is None:
                 continue
@@ -152,7 +168,7 @@ class Transducer:
             raise ValueError("the vocabulary lacks a byte, or has a token that its own merges cannot make")
         return last, places
 
-    def _move(self, state: int, byte: int) -> tuple[int, bytes]:
+    def _move(self, state: int, byte: int) -> int:
         last, places = self._step(state, byte)
         places.append((0, last))
         first = places[0][1]
@@ -168,27 +184,31 @@ class Transducer:
             places = [(node, (START, *chain[shared:])) for node, chain in places]
         elif shared > 1:
             places = [(node, chain[shared - 1 :]) for node, chain in places]
-        key = tuple(places)
+        key = packed_state(places)
         found = self.ids.get(key)
         if found is None:
             found = self.ids[key] = len(self.states)
             self.states.append(key)
-        return found, pack(first[1:shared]) if shared > 1 else b""
+        if shared > 1:
+            self.emits[state << 8 | byte] = pack(first[1:shared])
+            return ~found
+        return found
 
     def run(self, data: bytes) -> bytes:
         if len(self.moves) + len(self.ends) > self.table_rows:
             self._clear()
         if not data:
             return b""
-        state, out, moves = 0, [], self.moves
+        state, out, moves, emits = 0, [], self.moves, self.emits
         for byte in data[:-1]:
             key = state << 8 | byte
             move = moves.get(key)
             if move is None:
                 move = moves[key] = self._move(state, byte)
-            state, emitted = move
-            if emitted:
-                out.append(emitted)
+            if move < 0:
+                out.append(emits[key])
+                move = ~move
+            state = move
         key = state << 8 | data[-1]
         end = self.ends.get(key)
         if end is None:
@@ -286,22 +306,23 @@ class Decoder:
 
 
 @functools.lru_cache(2)
-def machines(path: str | None, pattern: str | None) -> tuple[Transducer, Decoder, regex.Pattern]:
+def machines(path: str | None, pattern: str | None, table_rows: int = TABLE_ROWS) -> tuple[Transducer, Decoder, regex.Pattern]:
     """One of each a worker process."""
     import public_tokenizers as public
 
     ranks = load_ranks(path or public.path(VOCABULARY))
-    return Transducer(ranks), Decoder(ranks), regex.compile(pattern or public.PATTERN)
+    return Transducer(ranks, table_rows), Decoder(ranks), regex.compile(pattern or public.PATTERN)
 
 
-def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, ids: bool = True, table_rows: int = TABLE_ROWS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip, and the ids themselves (array of int) if asked for.
 
-    path: a file of ranks that every executor has; the installed vocabulary by default."""
+    path: a file of ranks that every executor has; the installed vocabulary by default. table_rows: of each table of a worker;
+    fewer take less memory and more time, with the same result."""
     common.importable(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine, decoder, pieces = machines(path, pattern)
+        machine, decoder, pieces = machines(path, pattern, table_rows)
         gc.disable()  # the tables hold a million small tuples and no cycles; walking them again and again costs a tenth of the time
         try:
             yield from encoded(machine, decoder, pieces, batches)
