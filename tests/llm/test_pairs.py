@@ -299,6 +299,19 @@ def test_line_dedup_with_hot_segments(spark, monkeypatch):
         assert sorted(map(tuple, got)) == brute_lines(rows, ladder)
 
 
+def test_pairs_of_a_key_are_made_once(spark):
+    """Lines that one key indexes meet in one direction, rests of lines whose signatures are far apart do not meet; no key is hot here."""
+    hot = spark.createDataFrame([], "hot long")
+    keys = spark.createDataFrame([(1, n, True) for n in range(10)] + [(1, 50, False), (2, 60, False)], "key long, lh long, own boolean")
+    got = sorted(map(tuple, linededup.cool_pairs(keys, hot).collect()))
+    assert got == sorted([(a, b) for a in range(10) for b in range(a + 1, 10)] + [(a, 50) for a in range(10)])
+    rows = [(1, n, own, 0, 2, 0b11111 * (n % 2)) for n in range(10) for own in (True, False)] + [(1, 4, False, 1, 2, 0), (1, 50, False, 1, 2, 0b1111)]
+    rests = spark.createDataFrame(rows, "key long, lh long, own boolean, less int, edits int, sign long")
+    got = sorted(map(tuple, linededup.cool_rest_pairs(rests, hot).collect()))
+    equal = {(a, b) for a in range(10) for b in range(a + 1, 10) if a % 2 == b % 2}
+    assert got == sorted(equal | {(a, 4) for a in range(0, 10, 2) if a != 4} | {(a, 50) for a in range(10)})
+
+
 def test_near_lines_share_a_key(spark):
     """An index key of the shorter of two near lines is a probe key of the longer, and with_keys agrees with line_spots."""
     rng, ladder = random.Random(5), ((8, 1), (14, 2), (20, 3))

@@ -160,12 +160,17 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return (F.length(b) <= edits) | (F.aggregate(common.let(rows, equal), start, step, end) <= edits)
 
 
+def may_be_near(a: Column, b: Column, edits: Column) -> Column:
+    """False only for signatures of lines that are not within these edits."""
+    return F.bit_count(a.bitwiseXOR(b)) <= 2 * edits
+
+
 def near(a: Column, b: Column, signs: tuple[Column, Column], edits: Column, ladder: Ladder) -> Column:
     """within(a, b) of the allowed edits, which are a column with values of the ladder; b is the longer one. signs: their signatures."""
     found = F.lit(False)
     for k in sorted({k for _, _, k in steps(ladder)}):
         found = F.when(edits == k, (F.length(b) - F.length(a) <= k) & within(a, b, k)).otherwise(found)
-    return (F.bit_count(signs[0].bitwiseXOR(signs[1])) <= 2 * edits) & found
+    return may_be_near(*signs, edits) & found
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -192,9 +197,17 @@ def hot_keys(keys: DataFrame) -> DataFrame:
 
 
 def cool_pairs(keys: DataFrame, hot: DataFrame) -> DataFrame:
-    """(a, b) of the lines that meet in keys that are not hot: index and probe."""
+    """(a, b) of the lines that meet in keys that are not hot: index and probe. Two lines that one key indexes meet once; no line need probe a key that indexes it."""
     cool = keys.where("own").join(common.small(hot), F.col("key") == F.col("hot"), "left_anti").select("key", F.col("lh").alias("a"))
-    return cool.join(keys.where("not own").select("key", F.col("lh").alias("b")), "key").where("a != b").select("a", "b").distinct()
+    return cool.join(keys.select("key", F.col("lh").alias("b"), "own"), "key").where("a < b or not own and a != b").select("a", "b").distinct()
+
+
+def cool_rest_pairs(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b) as of cool_pairs, of rows of finer(): of lines of one length, the one of the lower hash as index is enough, and lines whose signatures are too far apart do not meet."""
+    cool = rows.where("own").join(common.small(hot), F.col("key") == F.col("hot"), "left_anti").select("key", F.col("lh").alias("a"), F.col("sign").alias("sign_a"))
+    probe = rows.where("not own").select("key", F.col("lh").alias("b"), F.col("sign").alias("sign_b"), "less", "edits")
+    met = cool.join(probe, "key").where(F.expr("a < b or less > 0 and a != b") & may_be_near(F.col("sign_a"), F.col("sign_b"), F.col("edits")))
+    return met.select("a", "b").distinct()
 
 
 def without(text: Column, start: Column, size: Column) -> Column:
@@ -262,7 +275,7 @@ def in_blocks(rows: DataFrame, ladder: Ladder) -> DataFrame:
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
-    """(lh) of the lines that are near an earlier one; written. lines: (lh, first, k: index keys, p: probe keys)."""
+    """(lh) of the lines that are near an earlier one; written. lines: (lh, first, k: index keys, p: probe keys that are not among them)."""
     side = lambda c, own: lines.select("lh", F.explode(c).alias("key")).withColumn("own", F.lit(own))
     keys = side("k", True).unionByName(side("p", False))
     least, line, size = ladder[0][0], F.col("line"), F.col("size")
@@ -279,7 +292,7 @@ def near_lines(docs: DataFrame, lines: DataFrame, ladder: Ladder) -> DataFrame:
             late.append(centered(rows, ladder))
             rows = common.written(finer(undecided(rows, late[-1]), ladder), "finer-segments")
             hot = hot_keys(rows)
-            pairs.append(common.written(cool_pairs(rows, hot), "line-pairs"))
+            pairs.append(common.written(cool_rest_pairs(rows, hot), "line-pairs"))
             if not hot.limit(1).count():
                 break
             rows = common.written(rows.join(common.small(hot), F.col("key") == F.col("hot"), "left_semi"), "hot-segment-rows")
@@ -304,7 +317,7 @@ def removed_lines(docs: DataFrame, ladder: Ladder = LADDER) -> DataFrame:
     found = occurrences(docs)
     place = F.struct("doc_id", "pos")
     lines = found.select("lh", place.alias("place"), "line").groupBy("lh").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.first("line").alias("line"))
-    lines = common.written(with_keys(lines.withColumn("size", F.length("line")), ladder).select("lh", "first", "last", "k", "p"), "lines")
+    lines = common.written(with_keys(lines.withColumn("size", F.length("line")), ladder).select("lh", "first", "last", "k", F.array_except("p", "k").alias("p")), "lines")
     later = near_lines(docs, lines, ladder).withColumn("late", F.lit(True))
     listed = lines.join(later, "lh", "left").where("late or first != last").select(F.col("lh").alias("bad"), "first", F.coalesce("late", F.lit(False)).alias("late"))
     listed = common.written(listed, "repeated-lines")
