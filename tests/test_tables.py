@@ -133,3 +133,35 @@ def test_points_of_one_place(spark):
     table = spark.createDataFrame([("low", [0.0, 0.0], 100.0, None, None, 100.0), ("any", [0.0, 0.0], 100.0, None, None, None)], fences.SCHEMA)
     got = sorted(tuple(r) for r in fences.inside(points, table, ["id"]).collect())
     assert got == [(1, "any"), (1, "low"), (2, "any"), (2, "any"), (2, "low"), (3, "any")]
+
+
+def test_pairs_are_told_in_the_join(spark):
+    """Rings are not walked for each pair that shares a cell: no function of arrays is in the join, which compiles."""
+    plan = QUERIES["area_fences"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    assert len(joins) == 1 and not [j for j in joins if "lambda" in j]
+
+
+def test_outlines_agree_with_rings(spark):
+    """Shapes that just touch, hollow and crossed ones, and some that only their sloping sides or their hollows keep apart."""
+    pick = random.Random(5)
+    forms = {
+        "square": [(-1, -1), (1, -1), (1, 1), (-1, 1)], "tip": [(1, 0), (0, 1), (-1, 0), (0, -1)], "corner": [(-1, -1), (1, -1), (-1, 1)], "bow": [(-1, -1), (1, 1), (1, -1), (-1, 1)],
+        "hook": [(-1, -1), (1, -1), (1, 1), (0.75, 1), (0.75, -0.75), (-1, -0.75)], "star": [(0, 1), (0.25, 0.25), (1, 0), (0.25, -0.25), (0, -1), (-0.25, -0.25), (-1, 0), (-0.25, 0.25)],
+        "flat": [(-1, 0), (1, 0), (0, 0)], "round": [(1, 0.5), (0.5, 1), (-0.5, 1), (-1, 0.5), (-1, -0.5), (-0.5, -1), (0.5, -1), (1, -0.5), (1, 0.5)],
+    }
+
+    def shape(unit, at):
+        corners, size = pick.choice(list(forms.values())), pick.choice([0.25, 1.0, 2.0, 8.0])
+        x, y = at + pick.randint(-24, 24) / 2, pick.randint(-24, 24) / 2
+        return [[[((x + dx * size) * unit + 180) % 360 - 180 if at else (x + dx * size) * unit, (y + dy * size) * unit] for dx, dy in corners]]
+
+    for unit, at, n in ((0.0625, 0, 90), (2.0**-20, 0, 90), (0.25, 180 / 0.25, 60), (4.0, 0, 60)):
+        own = [(k, shape(unit, at)) for k in range(n)]
+        theirs = [(f"f{k}", None, None, shape(unit, at), None, None) for k in range(n + 7)]
+        areas, table = spark.createDataFrame(own, "area long, rings array<array<array<double>>>"), spark.createDataFrame(theirs, fences.SCHEMA)
+        want = areas.alias("a").crossJoin(table.alias("f")).where(geo.rings_intersect(F.col("a.rings")[0], F.col("f.rings")[0])).select("area", "fence_id").collect()
+        assert len(want) > n and sorted(map(tuple, fences.meeting(areas, table, "area").collect())) == sorted(map(tuple, want)), unit
+        swapped = fences.meeting(table.select("fence_id", "rings").withColumnRenamed("fence_id", "name"), areas.selectExpr("cast(area as string) as fence_id", "cast(null as array<double>) as center", "cast(null as double) as radius_m", "rings"), "name")
+        assert sorted((int(a), f) for f, a in swapped.collect()) == sorted(map(tuple, want)), unit
+    assert fences.meeting(areas.limit(0), table, "area").collect() == [] == fences.meeting(areas, table.limit(0), "area").collect()
